@@ -6,16 +6,27 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from glyphmill.llm import minhash
+from glyphmill.llm import minhash, token_file
 from glyphmill.llm.common import documents
 
 
+def tokenizer_path(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(documents(spark, sf_dir), percent=85)
 
 
+def op9_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_file.round_trip(documents(spark, sf_dir), tokenizer_path("word_bpe_49k.json"), end_id=1)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash_near_dedup": op1_minhash_near_dedup,
+    "op9_token_file": op9_token_file,
 }
 
 ORACLES: dict[str, str] = {}
