@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from glyphmill.llm import minhash, token_file
+from glyphmill.llm import minhash, prefix_bpe, token_file
 from glyphmill.llm.common import documents
 
 
@@ -24,9 +24,17 @@ def op9_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_file.round_trip(documents(spark, sf_dir), tokenizer_path("word_bpe_49k.json"), end_id=1)
 
 
+def op10_prefix_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    path = tokenizer_path("byte_bpe_50k.tiktoken")
+    return prefix_bpe.encode_documents(documents(spark, sf_dir), path, public_tokenizers.PATTERN)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash_near_dedup": op1_minhash_near_dedup,
     "op9_token_file": op9_token_file,
+    "op10_prefix_bpe": op10_prefix_bpe,
 }
 
 ORACLES: dict[str, str] = {}
