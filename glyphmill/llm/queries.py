@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from glyphmill.llm import minhash, prefix_bpe, token_file
+from glyphmill.llm import minhash, packing, prefix_bpe, token_file
 from glyphmill.llm.common import documents
 
 
@@ -20,6 +20,10 @@ def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(documents(spark, sf_dir), percent=85)
 
 
+def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(documents(spark, sf_dir))
+
+
 def op9_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_file.round_trip(documents(spark, sf_dir), tokenizer_path("word_bpe_49k.json"), end_id=1)
 
@@ -33,8 +37,9 @@ def op10_prefix_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash_near_dedup": op1_minhash_near_dedup,
+    "op3_packing": op3_packing,
     "op9_token_file": op9_token_file,
     "op10_prefix_bpe": op10_prefix_bpe,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op3_packing": packing.oracle_sql()}
