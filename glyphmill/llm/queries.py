@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from glyphmill.llm import minhash, packing, prefix_bpe, token_file
+from glyphmill.llm import langid, minhash, packing, prefix_bpe, token_file, toxicity
 from glyphmill.llm.common import documents
 
 
@@ -24,6 +24,14 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir))
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(documents(spark, sf_dir))
+
+
 def op9_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_file.round_trip(documents(spark, sf_dir), tokenizer_path("word_bpe_49k.json"), end_id=1)
 
@@ -38,6 +46,8 @@ def op10_prefix_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash_near_dedup": op1_minhash_near_dedup,
     "op3_packing": op3_packing,
+    "op7_toxicity": op7_toxicity,
+    "op8_language_id": op8_language_id,
     "op9_token_file": op9_token_file,
     "op10_prefix_bpe": op10_prefix_bpe,
 }
