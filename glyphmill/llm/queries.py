@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from glyphmill.llm import langid, minhash, packing, prefix_bpe, quality, token_file, toxicity
+from glyphmill.llm import html_blocks, langid, minhash, packing, prefix_bpe, quality, token_file, toxicity
 from glyphmill.llm.common import documents
 
 
@@ -28,6 +28,10 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir))
 
 
+def op4_html_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_blocks.main_text(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
@@ -51,6 +55,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash_near_dedup": op1_minhash_near_dedup,
     "op2_line_quality": op2_line_quality,
     "op3_packing": op3_packing,
+    "op4_html_blocks": op4_html_blocks,
     "op7_toxicity": op7_toxicity,
     "op8_language_id": op8_language_id,
     "op9_token_file": op9_token_file,
