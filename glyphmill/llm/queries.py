@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from glyphmill.llm import html_blocks, langid, minhash, packing, prefix_bpe, quality, token_file, toxicity
+from glyphmill.llm import ann, html_blocks, langid, minhash, packing, prefix_bpe, quality, token_file, toxicity
 from glyphmill.llm.common import documents
 
 
@@ -32,6 +33,11 @@ def op4_html_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_blocks.main_text(spark.read.parquet(f"{sf_dir}/pages.parquet"))
 
 
+def op6_pruned_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    return ann.neighbours(vectors, F.col("vec_id") % 100 == 0)
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
@@ -56,6 +62,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_line_quality": op2_line_quality,
     "op3_packing": op3_packing,
     "op4_html_blocks": op4_html_blocks,
+    "op6_pruned_graph": op6_pruned_graph,
     "op7_toxicity": op7_toxicity,
     "op8_language_id": op8_language_id,
     "op9_token_file": op9_token_file,
