@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glyphmill.llm import ann, html_blocks, langid, minhash, packing, prefix_bpe, quality, token_file, toxicity
+from glyphmill.llm import ann, chat, html_blocks, langid, minhash, packing, prefix_bpe, quality, token_file, toxicity
 from glyphmill.llm.common import documents
 
 
@@ -33,6 +33,10 @@ def op4_html_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_blocks.main_text(spark.read.parquet(f"{sf_dir}/pages.parquet"))
 
 
+def op5_chat_collapse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.collapse_and_render(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
 def op6_pruned_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
     return ann.neighbours(vectors, F.col("vec_id") % 100 == 0)
@@ -62,6 +66,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_line_quality": op2_line_quality,
     "op3_packing": op3_packing,
     "op4_html_blocks": op4_html_blocks,
+    "op5_chat_collapse": op5_chat_collapse,
     "op6_pruned_graph": op6_pruned_graph,
     "op7_toxicity": op7_toxicity,
     "op8_language_id": op8_language_id,
@@ -69,4 +74,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_prefix_bpe": op10_prefix_bpe,
 }
 
-ORACLES: dict[str, str] = {"op3_packing": packing.oracle_sql()}
+ORACLES: dict[str, str] = {"op3_packing": packing.oracle_sql(), "op5_chat_collapse": chat.ORACLE}
