@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -93,3 +96,22 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
         e = materialize(small, "small")
     nodes = e.select(F.col("u").alias("node"), F.col("v").alias("comp"))
     return nodes.unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("comp")).distinct())
+
+
+def groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Rows of equal first column (a long that isn't null), which must stand together, across batches."""
+    waiting: list[pa.RecordBatch] = []
+    last = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        key = batch.column(0).to_numpy()
+        cuts = [0, *(np.flatnonzero(key[1:] != key[:-1]) + 1).tolist(), len(key)]
+        for a, b in zip(cuts[:-1], cuts[1:]):
+            if waiting and key[a] != last:
+                yield pa.Table.from_batches(waiting)
+                waiting = []
+            waiting.append(batch.slice(a, b - a))
+            last = key[a]
+    if waiting:
+        yield pa.Table.from_batches(waiting)

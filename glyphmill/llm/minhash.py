@@ -5,15 +5,19 @@
    texts with equal sets share a class, so that copies cost nothing further.
    Of each MinHash minimum the two low bits are kept and packed; the full minima
    only make band keys.
-2. Candidates: each band bucket's smallest class leads it, and every member is
-   paired with its leader. That is linear in the bucket, however large.
+2. Candidates: each band bucket's smallest class leads it, and every class is
+   paired with the least of its buckets' leaders: a pair a class, however large
+   the buckets.
 3. The packed signatures estimate similarity: equal two-bit fields are counted
    with ``bit_count`` and corrected for the quarter that agree by chance. Pairs
    far below the threshold go (6.5 standard deviations), as do pairs whose set
    sizes exclude the threshold.
 4. The rest is confirmed on full sets, in exact integers.
-5. Buckets that still hold several components get all their pairs between
-   components compared, in blocks by set size and salt, so that no link is lost.
+5. Buckets that still hold several components are compared in full, so that no
+   link is lost: tasks compare the packed signatures of bounded blocks and give
+   back which components may touch, one row a component; then blocks of the full
+   sets of such components are compared by a product of their 0/1 matrix with
+   itself, which gives exact intersection sizes. Pairs are never rows.
 
 Row rules: a null or blank text has an empty set, is linked with nothing and is
 its own component. Null doc_ids are ignored by the component's minimum; a
@@ -34,12 +38,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from glyphmill.llm import words
-from glyphmill.llm.common import components, materialize, sized_broadcast, small_batches
+from glyphmill.llm.common import components, groups, materialize, sized_broadcast, small_batches
 
 #: Words in a shingle, minima in a band, bits kept of each minimum.
 SHINGLE, ROWS, BITS = 5, 6, 2
-#: Members of a block when the remaining pairs of a bucket are compared.
-BLOCK = 1024
+#: Signatures of a bucket, and sets and their elements together, in half a block of full comparison.
+SIGNATURES, SETS, ELEMENTS = 2048, 1024, 400_000
 _FIELDS = 64 // BITS
 _LOW = 0x5555555555555555
 
@@ -175,6 +179,14 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield out.filter(pa.array(same))
 
 
+def _read_sets(docs: DataFrame, need: DataFrame) -> DataFrame:
+    """(rid, items) of needed classes (rid, cls, need_id: a doc_id of the class), from the texts."""
+    need = sized_broadcast(need, need.count())
+    texts = docs.select("doc_id", "text").join(need, F.col("doc_id").eqNullSafe(F.col("need_id")))
+    sets = texts.select("rid", "cls", "text").mapInArrow(_sets, "rid long, items array<long>")
+    return materialize(sets, "sets")
+
+
 class _Confirm:
     """Confirms pairs of classes on their full sets, read again from the texts."""
 
@@ -184,16 +196,11 @@ class _Confirm:
     def __call__(self, pairs: DataFrame) -> DataFrame | None:
         """The linked of these (a, b); None if there are no pairs at all."""
         ids = pairs.select(F.col("a").alias("rid")).unionByName(pairs.select(F.col("b").alias("rid"))).distinct()
-        need = materialize(ids.join(self.reps, "rid").select("rid", "cls", F.col("doc_id").alias("need_id")), "need")
-        rows = need.count()
-        if not rows:
+        need = ids.join(self.reps, "rid").select("rid", "cls", F.col("doc_id").alias("need_id"))
+        need = materialize(need, "need")
+        if not need.limit(1).count():
             return None
-        texts = self.docs.select("doc_id", "text").join(
-            sized_broadcast(need, rows), F.col("doc_id").eqNullSafe(F.col("need_id"))
-        )
-        sets = materialize(
-            texts.select("rid", "cls", "text").mapInArrow(_sets, "rid long, items array<long>"), "sets"
-        )
+        sets = _read_sets(self.docs, need)
         one = sets.select(F.col("rid").alias("b"), F.col("items").alias("y"))
         two = sets.select(F.col("rid").alias("a"), F.col("items").alias("x"))
         both = F.size(F.array_intersect("x", "y"))
@@ -218,25 +225,17 @@ def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
 
     exploded = reps.select(F.explode("bands").alias("key"), "rid")
     leaders = exploded.groupBy("key").agg(F.min("rid").alias("a"), F.count("*").alias("c")).where("c > 1").select("key", "a")
-    pairs = exploded.join(leaders, "key").where("rid != a").select("a", F.col("rid").alias("b")).distinct()
+    pairs = exploded.join(leaders, "key").where("rid != a").groupBy(F.col("rid").alias("b")).agg(F.min("a").alias("a"))
     pairs = (
         pairs.join(sig.alias("p"), F.col("a") == F.col("p.rid")).join(sig.alias("q"), F.col("b") == F.col("q.rid"))
         .where(_possible("p", "q", percent)).select("a", "b")
     )
-    pairs = materialize(pairs, "pairs")
-
-    # First each class with one leader; another leader only where that left them apart.
-    near = pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
-    links = confirm(near)
-    comps = None
-    if links is not None:
+    links = confirm(materialize(pairs, "pairs"))
+    comps = None if links is None else materialize(components(links, "a", "b"), "comps")
+    more = _remaining(docs, reps, exploded, sig, comps, percent)
+    if more is not None:
+        links = more if links is None else links.unionByName(more)
         comps = materialize(components(links, "a", "b"), "comps")
-        rest = pairs.join(near, ["a", "b"], "left_anti")
-        more = confirm(_apart(rest, comps))
-        links, comps = _joined(links, more, comps)
-    last = confirm(_remaining(exploded, sig, pairs, comps, percent))
-    if last is not None:
-        links, comps = _joined(links, last, comps)
 
     classes = reps.select("cls", "rid", "copies", F.col("doc_id").alias("least"))
     if comps is not None:
@@ -257,44 +256,134 @@ def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
     )
 
 
-def _apart(pairs: DataFrame, comps: DataFrame) -> DataFrame:
-    """Those pairs whose ends are in different components."""
-    left = comps.select(F.col("node").alias("a"), F.col("comp").alias("ca"))
-    right = comps.select(F.col("node").alias("b"), F.col("comp").alias("cb"))
-    return (
-        pairs.join(left, "a", "left").join(right, "b", "left")
-        .where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
-    )
+def _merge(labels: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Labels after joining the groups of labels a and b, pair by pair; the least label stays."""
+    parent: dict[int, int] = {}
 
+    def root(x: int) -> int:
+        while (y := parent.get(x, x)) != x:
+            x = y
+        return x
 
-def _joined(links: DataFrame, more: DataFrame | None, comps: DataFrame) -> tuple[DataFrame, DataFrame]:
-    if more is None or not more.limit(1).count():
-        return links, comps
-    links = more if links is None else links.unionByName(more)
-    return links, materialize(components(links, "a", "b"), "comps")
+    for x, y in np.unique(np.stack([a, b], axis=1), axis=0).tolist():
+        x, y = root(x), root(y)
+        if x != y:
+            parent[max(x, y)] = min(x, y)
+    values, place = np.unique(labels, return_inverse=True)
+    return np.array([root(x) for x in values.tolist()])[place]
 
 
-def _remaining(exploded: DataFrame, sig: DataFrame, done: DataFrame, comps: DataFrame | None, percent: int) -> DataFrame:
-    """Pairs of a bucket in different components, not yet compared, that size and estimate allow."""
+def _touching(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+    """(a, b) of components that hold signatures whose estimate reaches the floor, one row for each that isn't least."""
+    count, chance = bands(percent) * ROWS, 2.0**-BITS
+    least = (floor_of_estimate(percent) * (1 - chance) + chance) * count
+    low = np.uint64(_LOW)
+    for table in groups(batches):
+        comp, n = (table.column(i).to_numpy() for i in (1, 2))
+        if (comp == comp[0]).all():
+            continue
+        sig = np.stack([table.column(i).to_numpy().view(np.uint64) for i in range(3, table.num_columns)])
+        label = comp
+        step = max(1, 1_000_000 // len(comp))
+        for at in range(0, len(comp), step):
+            part = slice(at, at + step)
+            off = np.zeros((len(comp[part]), len(comp)), dtype=np.uint16)
+            for s in sig:
+                x = s[part, None] ^ s[None, :]
+                off += np.bitwise_count((x | (x >> np.uint64(1))) & low)
+            fit = (count - off >= least) & (label[part, None] != label[None, :])
+            fit &= 100 * np.minimum(n[part, None], n[None, :]) >= percent * np.maximum(n[part, None], n[None, :])
+            i, j = np.nonzero(fit)
+            if len(i):
+                label = _merge(label, label[part][i], label[j])
+        yield from _edges(comp, label)
+
+
+def _edges(comp: np.ndarray, label: np.ndarray) -> Iterator[pa.RecordBatch]:
+    moved = np.flatnonzero(comp != label)
+    if len(moved):
+        pairs = np.unique(np.stack([label[moved], comp[moved]], axis=1), axis=0)
+        yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+
+
+def _linked(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+    """(a, b) of components that hold sets at the threshold or above."""
+    for table in groups(batches):
+        comp = table.column(1).to_numpy()
+        if (comp == comp[0]).all():
+            continue
+        lists = table.column(2).combine_chunks()
+        n = lists.value_lengths().to_numpy()
+        items, place, seen = np.unique(lists.flatten().to_numpy(), return_inverse=True, return_counts=True)
+        owner = np.repeat(np.arange(len(n)), n)
+        shared = seen[place] > 1
+        owner, column = owner[shared], (np.cumsum(seen > 1) - 1)[place[shared]]
+        order = np.argsort(column, kind="stable")
+        owner, column = owner[order], column[order]
+        both = np.zeros((len(n), len(n)), dtype=np.float32)
+        width = max(64, 4_000_000 // len(n))
+        for first in range(0, int((seen > 1).sum()), width):
+            p, q = np.searchsorted(column, [first, first + width])
+            x = np.zeros((len(n), width), dtype=np.float32)
+            x[owner[p:q], column[p:q] - first] = 1
+            both += x @ x.T
+        label = comp
+        step = max(1, 500_000 // len(n))
+        for at in range(0, len(n), step):
+            part = slice(at, at + step)
+            same = both[part].astype(np.int64)
+            fit = 100 * same >= percent * (n[part, None] + n[None, :] - same)
+            i, j = np.nonzero(fit & (label[part, None] != label[None, :]))
+            if len(i):
+                label = _merge(label, label[part][i], label[j])
+        yield from _edges(comp, label)
+
+
+def _remaining(
+    docs: DataFrame, reps: DataFrame, exploded: DataFrame, sig: DataFrame, comps: DataFrame | None, percent: int
+) -> DataFrame | None:
+    """Links (a, b) between components that share a bucket; None if there are none."""
     if comps is None:
-        members = exploded.withColumn("comp", F.col("rid"))
+        own = sig.withColumn("comp", F.col("rid"))
     else:
-        members = exploded.join(comps, F.col("rid") == F.col("node"), "left").select("key", "rid", F.coalesce("comp", "rid").alias("comp"))
-    # A bucket of two has been compared in full with its leader.
+        own = sig.join(comps, F.col("rid") == F.col("node"), "left").withColumn("comp", F.coalesce("comp", "rid"))
+    own = own.select("rid", "comp", "n", *_longs(percent))
+    members = exploded.join(own.select("rid", "comp"), "rid")
     mixed = members.groupBy("key").agg(F.count("*").alias("c"), F.min("comp").alias("lo"), F.max("comp").alias("hi"))
-    mixed = mixed.where("c > 2 and lo != hi").select("key", F.ceil(F.col("c") / BLOCK).cast("int").alias("blocks"))
-    step = math.log(100 / percent)
-    m = members.join(mixed, "key").join(sig, "rid").withColumn("grade", F.floor(F.log("n") / step))
-    m = materialize(m, "mixed")
-    salt = F.pmod(F.xxhash64("rid"), F.col("blocks")).cast("int")
-    left = m.withColumn("block", salt)
-    right = m.withColumn("grade", F.explode(F.array(F.col("grade") - 1, F.col("grade"), F.col("grade") + 1)))
-    right = right.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    on = [F.col(f"p.{c}") == F.col(f"q.{c}") for c in ("key", "grade", "block")]
-    found = left.alias("p").join(
-        right.alias("q"), [*on, F.col("p.rid") < F.col("q.rid"), F.col("p.comp") != F.col("q.comp"), _possible("p", "q", percent)]
-    )
-    return found.select(F.col("p.rid").alias("a"), F.col("q.rid").alias("b")).distinct().join(done, ["a", "b"], "left_anti")
+    mixed = mixed.where("lo != hi").select("key", F.ceil(F.col("c") / SIGNATURES).cast("int").alias("blocks"))
+    block = F.pmod(F.xxhash64("rid"), F.col("blocks")).cast("int")
+    m = members.select("key", "rid").join(mixed, "key").withColumn("block", block).join(own, "rid")
+    m = m.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    gid = F.xxhash64("key", F.least("block", "other"), F.greatest("block", "other"))
+    m = m.select(gid.alias("gid"), "comp", "n", *_longs(percent)).repartition("gid").sortWithinPartitions("gid")
+    touching = materialize(m.mapInArrow(partial(_touching, percent=percent), "a long, b long"), "touching")
+    if not touching.limit(1).count():
+        return None
+
+    families = components(touching, "a", "b").select(F.col("node").alias("comp"), F.col("comp").alias("family"))
+    need = own.select("rid", "comp", "n").join(families, "comp").join(reps.select("rid", "cls", "doc_id"), "rid")
+    need = materialize(need.withColumn("grade", F.floor(F.log("n") / math.log(100 / percent)).cast("int")), "families")
+    sets = _read_sets(docs, need.select("rid", "cls", F.col("doc_id").alias("need_id")))
+    # A family of few elements is one block; else it has blocks by grade of size, and only next grades can be linked.
+    sizes = need.groupBy("family", "grade").agg(F.count("*").alias("c"), F.sum("n").alias("t"))
+    blocks = F.greatest(F.ceil(F.col("c") / SETS), F.ceil(F.col("t") / ELEMENTS)).cast("int")
+    sizes = sizes.withColumn("blocks", blocks)
+    whole = sizes.groupBy("family").agg((F.greatest(F.sum("c") / SETS, F.sum("t") / ELEMENTS) <= 1).alias("whole"))
+    sizes = sizes.join(whole, "family")
+    one = need.join(sizes.select("family", "grade", "blocks", "whole"), ["family", "grade"])
+    near = sizes.select("family", F.explode(F.array(*(F.col("grade") + k for k in (-1, 0, 1)))).alias("grade"), F.col("grade").alias("g2"), F.col("blocks").alias("b2"))
+    near = near.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("b2") - 1)))
+    near = near.groupBy("family", "grade").agg(F.collect_list(F.struct("g2", "other")).alias("partners"))
+    small = one.where("whole").select(F.xxhash64("family").alias("gid"), "comp", "rid")
+    large = one.where("not whole").join(near, ["family", "grade"])
+    here = F.struct(F.col("grade").alias("g2"), F.pmod(F.xxhash64("rid"), F.col("blocks")).cast("int").alias("other"))
+    large = large.withColumn("here", here).withColumn("there", F.explode("partners"))
+    gid = F.xxhash64("family", F.least("here", "there"), F.greatest("here", "there"))
+    large = large.select(gid.alias("gid"), "comp", "rid")
+    rows = small.unionByName(large).join(sets, "rid").select("gid", "comp", "items")
+    rows = rows.repartition("gid").sortWithinPartitions("gid")
+    out = materialize(rows.mapInArrow(partial(_linked, percent=percent), "a long, b long"), "links")
+    return out if out.limit(1).count() else None
 
 
 def one_of_each(docs: DataFrame, percent: int = 80) -> DataFrame:

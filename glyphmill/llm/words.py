@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes of text that are hashed together; a longer text makes a slice of its own.
-SLICE = 1 << 21
+SLICE = 1 << 19
 _ODD = 0x9E3779B97F4A7C15
 _MASK = (1 << 64) - 1
 _powers: dict[str, np.ndarray] = {}
