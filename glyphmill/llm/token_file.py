@@ -24,7 +24,6 @@ table makes no file and returns no rows.
 
 from __future__ import annotations
 
-import re
 import struct
 import uuid
 import zlib
@@ -38,6 +37,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from glyphmill.llm import words
 from glyphmill.llm.common import new_path, small_batches
 
 MAGIC = b"GMTOKEF1"
@@ -45,10 +45,8 @@ _HEADER = struct.Struct("<IIQQQq")  # bytes per id, reserved, documents, ids, nu
 _BLOCK = struct.Struct("<QIIQQ")  # count, low bits, reserved, bytes of the low part, bytes of the high part
 #: One sample for so many values.
 SAMPLE = 256
-#: Ids after which a file ends (with the document that reaches it).
+#: Ids after which a file ends (with the texts that reach it).
 SEGMENT_IDS = 4_000_000
-#: Entries of a worker's memo before it starts anew.
-MEMO = 700_000
 
 
 class EliasFano:
@@ -143,58 +141,121 @@ class Segment:
         return self.ids[self.bounds.select(i) : self.bounds.select(i + 1)]
 
 
-_WORD = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,]?)\Z")
+_SPACE, _LETTER, _OTHER = 0, 1, 2
+_CLASS = np.full(256, _OTHER, dtype=np.uint8)
+_CLASS[[9, 10, 11, 12, 13, 32]] = _SPACE
+_CLASS[65:91] = _CLASS[97:123] = _LETTER
+
+
+def units(s: words.Slice) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of parts of the texts that are encoded independently, in order.
+
+    The tokenizer drops white space and lower-cases, and no token goes across
+    white space or from letters to anything else, but for an apostrophe's. So a
+    part is a run of letters (ASCII, or two bytes of Latin-1) or of other
+    characters. A run between white space that holds an apostrophe or a character
+    beyond Latin-1's letters is one part.
+    """
+    data = s.data
+    kind = _CLASS[data]
+    second = np.zeros(len(data), dtype=bool)
+    lead = data == 0xC3
+    second[1:] = lead[:-1] & (data[1:] >= 0x80) & (data[1:] != 0x97) & (data[1:] != 0xB7)
+    lead[:-1] &= second[1:]
+    lead[-1:] = False
+    kind[second | lead] = _LETTER
+    odd = np.concatenate(([0], np.cumsum((data == 0x27) | (data >= 0x80) & ~second & ~lead)))
+    whole = np.flatnonzero(odd[s.ends] > odd[s.starts])
+    if len(whole):
+        size = s.ends[whole] - s.starts[whole]
+        at = np.repeat(s.starts[whole] - np.concatenate(([0], np.cumsum(size)[:-1])), size) + np.arange(size.sum())
+        kind[at] = _LETTER
+    edge = np.zeros(len(data) + 1, dtype=bool)
+    edge[s.offsets] = True
+    edge[1:-1] |= kind[1:] != kind[:-1]
+    cuts = np.flatnonzero(edge)
+    starts, ends = cuts[:-1], cuts[1:]
+    used = kind[starts] != _SPACE if len(starts) else np.zeros(0, dtype=bool)
+    return starts[used], ends[used]
 
 
 class Encoder:
-    """Whole texts to ids, little-endian bytes, with a memo of what lies between blanks.
+    """Whole texts to ids, with a table of the parts seen.
 
-    The tokenizer drops white space, lower-cases, and never joins characters
-    across white space or a letter run and what follows it; so a text's ids are
-    those of its parts in turn. Parts not in the memo are encoded together. Words
-    of Latin-1 letters are looked up in lower case, without one final stop or comma.
+    The table is keyed by a part's 64-bit hash and checked by a second one; each
+    part has two places, and what finds both taken is encoded again when it next
+    occurs. Its size is fixed: TABLE places, and IDS ids.
     """
 
+    TABLE, IDS = 1 << 21, 8_000_000
+
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
-        self.memo: dict[str, bytes] = {}
-        self.stems: dict[str, bytes] = {}
-
-    def _fresh(self, parts: list[str]) -> list[bytes]:
-        kind = f"<u{self.width}"
+        self._clear()
+
+    def _clear(self) -> None:
+        self.keys = np.zeros(self.TABLE, dtype=np.uint64)
+        self.checks = np.zeros(self.TABLE, dtype=np.uint32)
+        self.at = np.zeros(self.TABLE, dtype=np.uint32)
+        self.size = np.zeros(self.TABLE, dtype=np.uint32)
+        self.ids = np.zeros(1 << 16, dtype=f"<u{self.width}")
+        self.used = 0
+
+    def _encode(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> list[np.ndarray]:
+        raw = data.tobytes()
+        parts = [raw[a:b].decode() for a, b in zip(starts.tolist(), ends.tolist())]
         found = self.tokenizer.encode_batch_fast(parts, add_special_tokens=False)
-        return [np.array(x.ids, dtype=kind).tobytes() for x in found]
-
-    def __call__(self, texts: list[str]) -> list[bytes]:
-        if len(self.memo) > MEMO:
-            self.memo.clear()
-        if len(self.stems) > MEMO:
-            self.stems.clear()
-        memo, stems = self.memo, self.stems
-        split = [x.replace("\n", " ").split(" ") for x in texts]
-        new: set[str] = set()
-        for parts in split:
-            new.update([x for x in parts if x not in memo])
-        whole, cut, wanted = [], [], {}
-        for x in new:
-            if m := _WORD.match(x):
-                stem = m[1].lower()
-                cut.append((x, stem, m[2]))
-                if stem not in stems:
-                    wanted[stem] = None
-                if m[2] and m[2] not in stems:
-                    wanted[m[2]] = None
-            else:
-                whole.append(x)
-        stems.update(zip(wanted, self._fresh(list(wanted))))
-        memo.update(zip(whole, self._fresh(whole)))
-        for x, stem, tail in cut:
-            memo[x] = stems[stem] + stems[tail] if tail else stems[stem]
-        return [b"".join([memo[x] for x in parts]) for parts in split]
+        return [np.array(x.ids, dtype=self.ids.dtype) for x in found]
+
+    def __call__(self, data: np.ndarray, offsets: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the texts, end_id after each, and each text's count."""
+        s = words.Slice(data, offsets)
+        starts, ends = units(s)
+        keys = s.spans(starts, ends)
+        keys, first, place = np.unique(keys, return_index=True, return_inverse=True)
+        checks = (words.mix(s.spans(starts[first], ends[first]) ^ data[starts[first]].astype(np.uint64), 3) >> np.uint64(32)).astype(np.uint32)
+        mask = np.uint64(self.TABLE - 1)
+        one, two = (keys & mask).astype(np.int64), (keys >> np.uint64(40) & mask).astype(np.int64)
+        slot = np.where((self.keys[one] == keys) & (self.checks[one] == checks), one, two)
+        known = (self.keys[slot] == keys) & (self.checks[slot] == checks) & (self.size[slot] > 0)
+        at, size = self.at[slot].astype(np.int64), self.size[slot].astype(np.int64)
+        new = np.flatnonzero(~known)
+        flat = self.ids[: self.used]
+        if len(new):
+            found = self._encode(data, starts[first[new]], ends[first[new]])
+            size[new] = [len(x) for x in found]
+            at[new] = self.used + np.cumsum(size[new]) - size[new]
+            flat = np.concatenate([flat, *found])
+            self._keep(flat, keys[new], checks[new], at[new], size[new], one[new], two[new])
+        # The end id is a part of its own, after each text's last.
+        count = np.searchsorted(starts, offsets[1:])
+        part = np.insert(place, count, len(keys))
+        at, size = np.append(at, len(flat)), np.append(size, 1)
+        flat = np.append(flat, flat.dtype.type(end_id))
+        at, size = at[part], size[part]
+        total = np.concatenate(([0], np.cumsum(size)))
+        ids = flat[np.repeat(at - total[:-1], size) + np.arange(total[-1])]
+        bounds = total[count + np.arange(1, len(count) + 1)]
+        return ids, np.diff(bounds, prepend=0)
+
+    def _keep(self, flat, keys, checks, at, size, one, two) -> None:
+        if len(flat) > self.IDS:
+            self._clear()
+            return
+        self.ids, self.used = flat, len(flat)
+        for choice in (one, two):
+            free = np.flatnonzero((self.size[choice] == 0) & (size > 0))
+            _, pick = np.unique(choice[free], return_index=True)
+            free = free[pick]
+            target = choice[free]
+            self.keys[target], self.checks[target] = keys[free], checks[free]
+            self.at[target], self.size[target] = at[free], size[free]
+            size = size.copy()
+            size[free] = 0  # placed
 
 
 _encoders: dict[str, Encoder] = {}
@@ -221,7 +282,6 @@ def _write(batches: Iterable[pa.RecordBatch], uri: str, tokenizer: str, end_id:
     fs, folder = FileSystem.from_uri(uri)
     fs.create_dir(folder, recursive=True)
     encode = encoder(tokenizer)
-    end = end_id.to_bytes(encode.width, "little")
     unpack = zstandard.ZstdDecompressor().decompress
     part = TaskContext.get().partitionId()
     docs: list[int | None] = []
@@ -240,14 +300,15 @@ def _write(batches: Iterable[pa.RecordBatch], uri: str, tokenizer: str, end_id:
         )
 
     for batch in batches:
-        names, packed = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-        for begin in range(0, len(names), 100):  # few texts at once stay unpacked
-            texts = [unpack(x).decode() for x in packed[begin : begin + 100]]
-            for name, found in zip(names[begin : begin + 100], encode(texts)):
-                docs.append(name)
-                ids.append(found + end)
-                counts.append(len(ids[-1]) // encode.width)
-                total += counts[-1]
+        for begin in range(0, batch.num_rows, 100):  # few texts at once stay unpacked
+            some = batch.slice(begin, 100)
+            texts = pa.array([unpack(x.as_py()) for x in some.column(1)], pa.binary())
+            for p, q, data, offsets in words.slices(texts):
+                found, n = encode(data, offsets, end_id)
+                docs += some.column(0).slice(p, q - p).to_pylist()
+                counts += n.tolist()
+                ids.append(found.tobytes())
+                total += len(found)
                 if total >= SEGMENT_IDS:
                     yield flush()
                     docs, counts, ids, total, seq = [], [], [], 0, seq + 1
