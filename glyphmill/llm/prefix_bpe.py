@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from glyphmill.llm.common import small_batches
 
 #: Entries of a worker's memos before they start anew.
-MEMO, PAIRS = 300_000, 500_000
+MEMO, PAIRS = 700_000, 700_000
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -49,7 +49,7 @@ class Vocabulary:
         for token, rank in ranks.items():
             if len(token) > 1:
                 self._split(token, rank)
-        self._apart: dict[tuple[int, int], bool] = {}
+        self.known: dict[tuple[int, int], bool] = {}
 
     def _split(self, token: bytes, rank: int) -> None:
         """Merges the token's bytes by ranks below its own; the two parts left are its halves."""
@@ -76,12 +76,12 @@ class Vocabulary:
         one rank the left one comes first.
         """
         key = (a, b)
-        known = self._apart.get(key)
+        known = self.known.get(key)
         if known is None:
             known = self._undo(a, b)
-            if len(self._apart) > PAIRS:
-                self._apart.clear()
-            self._apart[key] = known
+            if len(self.known) > PAIRS:
+                self.known.clear()
+            self.known[key] = known
         return known
 
     def _undo(self, a: int, b: int) -> bool:
@@ -119,13 +119,21 @@ class PrefixTable:
         self._fill()
 
     def _fill(self) -> None:
-        data, last, ranks, apart, longest = self.data, self.last, self.vocabulary.ranks, self.vocabulary.apart, self.vocabulary.longest
+        data, last, v = self.data, self.last, self.vocabulary
+        get, known, longest = v.ranks.get, v.known.get, v.longest
         for end in range(len(last), len(data) + 1):
             for begin in range(max(0, end - longest), end):
-                token = ranks.get(data[begin:end])
-                if token is not None and (not begin or apart(last[begin], token)):
-                    last.append(token)
-                    break
+                token = get(data[begin:end])
+                if token is not None:
+                    if not begin:
+                        last.append(token)
+                        break
+                    fits = known((last[begin], token))
+                    if fits is None:
+                        fits = v.apart(last[begin], token)
+                    if fits:
+                        last.append(token)
+                        break
             else:
                 raise ValueError("the vocabulary lacks a byte")
 
@@ -206,11 +214,20 @@ class Encoder:
         words[1:] = [" " + x for x in words[1:]]
         for x in words:
             if x not in memo:
-                memo[x] = self.parts(x)
+                # Mostly letters and at most one stop or comma: two pieces, without a search.
+                if max(x, default="") >= _BEYOND:
+                    memo[x] = self.parts(x)
+                elif (tail := x[-1:]) in (".", ",") and (stem := x[:-1]).lstrip(" ").isalpha():
+                    a, b = self.piece(stem), self.piece(tail)
+                    memo[x] = a[0] + b[0], f"{a[1]} {b[1]}", a[2] + b[2]
+                else:
+                    memo[x] = self.piece(x) if x.lstrip(" ").isalpha() else self.parts(x)
         found = [memo[x] for x in words]
         return sum([x[0] for x in found]), " ".join([x[1] for x in found if x[0]]), b"".join([x[2] for x in found])
 
 
+#: From here on letters are left to the pattern.
+_BEYOND = "\u0250"
 # The public pattern for which blanks are known to begin pieces (see Encoder.safe).
 _USUAL = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 _encoders: dict[tuple[str, str], Encoder] = {}
