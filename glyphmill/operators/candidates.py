@@ -100,7 +100,7 @@ def winners(found: DataFrame, page: list[str]) -> DataFrame:
 
 def winners_by_score(found: DataFrame, page: list[str]) -> DataFrame:
     """The same by one number for each candidate: length, complement of rank, complement of rule, 16 bits each."""
-    score = F.col("len").cast("long") * (1 << 32) + (65535 - F.col("rank")) * 65536 + (65535 - F.col("rule_id"))
+    score = F.col("len").cast("long") * (1 << 32) + (65535 - F.col("rank")).cast("long") * 65536 + (65535 - F.col("rule_id"))
     best = found.withColumn("score", score).groupBy(*page, "pos").agg(F.max("score").alias("s"))
     part = lambda at: F.shiftright("s", at).bitwiseAND(F.lit(65535).cast("long")).cast("int")
     return best.select(*page, "pos", F.shiftright("s", 32).cast("int").alias("len"), (65535 - part(16)).alias("rank"), (65535 - part(0)).alias("rule_id"))
