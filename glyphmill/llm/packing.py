@@ -28,12 +28,9 @@ MAX_LENGTH, BUCKETS, BUDGET = 2048, 8, 16384
 
 
 def words_and_end(text: Column) -> Column:
-    """Words of a text, and one: each word begins at a character that is not white space after one that is."""
-    blanks = "\t\n\x0b\f\r"
-    plain = F.translate(F.coalesce(text, F.lit("")), blanks, " " * len(blanks))
-    parts = F.split(plain, " +")
-    empty = F.when(F.element_at(parts, 1) == "", 1).otherwise(0) + F.when((F.size(parts) > 1) & (F.element_at(parts, -1) == ""), 1).otherwise(0)
-    return (F.size(parts) - empty + 1).cast("long")
+    """Words of a text, and one. Trimming first leaves as many parts as words, or one empty part."""
+    trimmed = F.btrim(F.coalesce(text, F.lit("")), F.lit(" \t\n\x0b\f\r"))
+    return F.when(trimmed == "", F.lit(1)).otherwise(F.size(F.split(trimmed, r"[\x20\x09-\x0D]+")) + 1).cast("long")
 
 
 def boundaries(lengths: list[int], counts: list[int], buckets: int) -> list[int]:
