@@ -26,7 +26,7 @@ def binary_view(data: Column) -> Column:
 
 def byte_class(b: Column, runtime: Runtime) -> Column:
     """The byte's class: a lookup in a literal array of 256."""
-    return F.element_at(F.array(*(F.lit(c) for c in runtime.lut)), b + 1)
+    return F.element_at(F.array(*(F.lit(c) for c in runtime.lut)), b.cast("int") + 1)
 
 
 def in_set(b: Column, runtime: Runtime, set_id: int) -> Column:

@@ -33,7 +33,7 @@ def slices(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
 
 
 def read_files(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
-    """file_id (FNV-1a of the path), path, bytes of every file under path, bytes as they are."""
+    """file_id (FNV-1a of the path), path, bytes of every file under path, bytes as they are; Spark leaves out empty files."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", "true").load(path)
     return files.select(fnv1a(F.col("path")).alias("file_id"), "path", F.col("content").alias("bytes"))
 
