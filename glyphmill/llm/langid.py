@@ -1,11 +1,13 @@
 """Language by compression with per-language zstandard dictionaries.
 
 For each language a raw-content dictionary is made of a bounded sample of
-labelled texts, in lower case. A text, in lower case too, is cut into blocks, each block is compressed once with
-each dictionary, and the language whose blocks sum to the fewest bytes wins.
+labelled texts. Of texts, here as there, letters count: they are lower-cased, and
+whatever stands between them becomes one blank. A text is cut into blocks, each
+block is compressed once with each dictionary, and the language whose blocks sum
+to the fewest bytes wins.
 Blocks keep the dictionary near however long the text is, and every byte of the
-text is in one. Equal sums go to the language with more sampled bytes, then to
-the first by name. If the runner-up needs hardly more bytes, the text is
+text is in one. Equal sums go to the language with more distinct texts, then to the
+first by name. If the runner-up needs hardly more bytes, the text is
 rejected; the prediction is still given.
 
 The sample: at most SAMPLE distinct texts of each language, those with the
@@ -35,10 +37,16 @@ from glyphmill.llm.common import small_batches
 #: Bounds of what is learned from each language: texts, characters of each, bytes of the dictionary.
 SAMPLE, PIECE, DICTIONARY = 200, 2000, 200_000
 #: Bytes of a block, level of compression.
-BLOCK, LEVEL = 4096, 3
+BLOCK, LEVEL = 1024, 6
 #: A text is rejected if the runner-up needs less than this share more.
 MARGIN = 0.001
-_LETTER = re.compile(r"[^\W\d_]")
+_LETTERS = re.compile(r"[^\W\d_]+")
+
+
+def letters(text: str) -> bytes:
+    """Runs of letters in lower case, with a blank before and after each; nothing if there are none."""
+    found = _LETTERS.findall(text.lower())
+    return f" {' '.join(found)} ".encode() if found else b""
 
 
 def held_out(doc_id: str = "doc_id") -> Column:
@@ -57,12 +65,15 @@ def dictionaries(docs: DataFrame, learn: Column) -> dict[str, bytes]:
     found: dict[str, dict[int, str]] = {}
     for r in texts.select("of", "h", F.substring("text", 1, PIECE).alias("piece")).distinct().collect():
         found.setdefault(r["of"], {})[r["h"]] = r["piece"]
-    return {k: "\n".join(v[h] for h in sorted(v)).lower().encode()[:DICTIONARY] for k, v in sorted(found.items())}
+    # A row for each language: the commonest comes first, which settles equal sums.
+    counts = {r["lang"]: r["n"] for r in once.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    order = sorted(found, key=lambda k: (-counts[k], k))
+    return {k: b"".join(letters(found[k][h]) for h in sorted(found[k]))[:DICTIONARY] for k in order}
 
 
 class Classifier:
     def __init__(self, raw: dict[str, bytes]):
-        self.languages = sorted(raw, key=lambda k: (-len(raw[k]), k))
+        self.languages = list(raw)
         self.compressors = []
         for k in self.languages:
             d = zstandard.ZstdCompressionDict(raw[k], dict_type=zstandard.DICT_TYPE_RAWCONTENT)
@@ -77,9 +88,10 @@ class Classifier:
 
     def __call__(self, text: str | None) -> tuple[str, float, bool]:
         """Language, score, whether the margin is wide enough."""
-        if not text or not self.languages or not _LETTER.search(text):
+        data = letters(text) if text and self.languages else b""
+        if not data:
             return "und", 0.0, False
-        sizes = self.sizes(text.lower().encode())
+        sizes = self.sizes(data)
         best = min(range(len(sizes)), key=sizes.__getitem__)
         rest = sizes[:best] + sizes[best + 1 :]
         margin = (min(rest) - sizes[best]) / sizes[best] if rest else 1.0
@@ -90,7 +102,7 @@ _classifiers: dict[tuple, Classifier] = {}
 
 
 def _predict(batches: Iterator[pa.RecordBatch], raw: dict[str, bytes]) -> Iterator[pa.RecordBatch]:
-    key = tuple(sorted(raw.items()))
+    key = tuple(raw.items())
     if key not in _classifiers:
         _classifiers.clear()
         _classifiers[key] = Classifier(raw)
