@@ -62,6 +62,19 @@ def small_batches(spark: SparkSession, rows: int = 1000) -> None:
         spark.conf.set(key, str(rows))
 
 
+def sample_of_each(df: DataFrame, by: str, bounds: dict[int, int], key: str) -> DataFrame:
+    """Of the rows with each value of ``by``, at most so many: those with the smallest hashes of ``key``.
+
+    The bounds are parameters, so what is gathered doesn't grow with the data:
+    each partition offers its own smallest, and no value's rows meet in one task.
+    """
+    parts = [df.where(F.col(by) == v).orderBy(F.xxhash64(key), key).limit(n) for v, n in bounds.items()]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
 def _is_star(edges: DataFrame) -> bool:
     """Whether each child has one parent and no parent is a child."""
     n = edges.agg(F.count("*").alias("n"), F.count_distinct("u").alias("d")).first()

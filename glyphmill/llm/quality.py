@@ -24,14 +24,14 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from glyphmill.llm import words
-from glyphmill.llm.common import small_batches
+from glyphmill.llm.common import sample_of_each, small_batches
 
 #: Texts of each quality, lines of each that are fitted, steps and penalty of the fit.
-SAMPLE, LINES, STEPS, PENALTY = 1500, 200, 150, 1.0
+SAMPLE, LINES, STEPS, PENALTY = 1500, 100, 100, 1.0
 #: Least words, most percent of repeated words, least share of words in content lines.
 LEAST_WORDS, REPEATED, SHARE = 50, 50, 0.5
 BOILERPLATE, CONTENT = 0, 1
@@ -227,8 +227,7 @@ def _train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def train(docs: DataFrame, labels: DataFrame) -> Field | None:
     known = labels.select("doc_id", F.col("quality").cast("int").alias("good")).where("doc_id is not null").dropna()
     known = known.groupBy(F.col("doc_id").alias("label_id")).agg(F.min("good").alias("good"))
-    rank = F.row_number().over(Window.partitionBy("good").orderBy(F.xxhash64("label_id"), "label_id"))
-    sample = known.withColumn("r", rank).where(F.col("r") <= SAMPLE).drop("r")
+    sample = sample_of_each(known, "good", {0: SAMPLE, 1: SAMPLE}, "label_id")
     # At most 2 * SAMPLE rows.
     rows = docs.select("doc_id", "text").join(F.broadcast(sample), F.col("doc_id") == F.col("label_id"))
     w = np.array([r["w"] for r in rows.select("doc_id", "text", "good").repartition(1).mapInArrow(_train, "w double").collect()])
