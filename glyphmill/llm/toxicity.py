@@ -1,7 +1,7 @@
 """Toxicity by a classifier chain.
 
 Categories are predicted one after the other by linear (logistic) models over
-the presence of words and of word beginnings of 3 to 6 bytes; each later model
+the presence of words and of word beginnings of 3 to 10 bytes; each later model
 also gets the earlier categories' probabilities. The models are trained with
 out-of-fold probabilities: those of a row come from models that haven't seen it,
 so later models learn how much the earlier ones can be trusted on new rows.
@@ -24,11 +24,11 @@ from functools import partial
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from glyphmill.llm import words
-from glyphmill.llm.common import small_batches
+from glyphmill.llm.common import sample_of_each, small_batches
 
 #: Sampled rows with the last category, features kept, folds, weight of the penalty.
 SAMPLE, FEATURES, FOLDS, PENALTY = 2000, 512, 3, 1.0
@@ -46,7 +46,7 @@ def features(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarra
         s = words.Slice(data, offsets, _LETTERS[data])
         size = s.ends - s.starts
         own, out = [s.doc_of_word], [s.spans(s.starts, s.ends)]
-        for n in range(3, 7):
+        for n in range(3, 11):
             long = np.flatnonzero(size > n)
             own.append(s.doc_of_word[long])
             out.append(words.mix(s.spans(s.starts[long], s.starts[long] + n), n))
@@ -183,9 +183,7 @@ def train(docs: DataFrame, labels: DataFrame, categories: dict[str, str]) -> Cha
     known = labels.select("doc_id", *cols).where("doc_id is not null").dropna()
     known = known.groupBy("doc_id").agg(*(F.max(f"c{k}").alias(f"c{k}") for k in range(len(names))))
     last = f"c{len(names) - 1}"
-    rank = F.row_number().over(Window.partitionBy(last).orderBy(F.xxhash64("doc_id"), "doc_id"))
-    bound = F.when(F.col(last) == 1, SAMPLE).otherwise(2 * SAMPLE)
-    sample = known.withColumn("r", rank).where(F.col("r") <= bound).drop("r").withColumnRenamed("doc_id", "label_id")
+    sample = sample_of_each(known, last, {1: SAMPLE, 0: 2 * SAMPLE}, "doc_id").withColumnRenamed("doc_id", "label_id")
     # At most 3 * SAMPLE rows.
     rows = docs.select("doc_id", "text").join(F.broadcast(sample), F.col("doc_id") == F.col("label_id")).drop("label_id")
     rows = rows.repartition(1)  # the bounded sample, in one task
