@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import os
 from collections.abc import Iterator
 from functools import partial
 
@@ -112,6 +113,11 @@ class PrefixTable:
         self.data += more
         self._fill()
 
+    def copy(self) -> PrefixTable:
+        out = PrefixTable(self.vocabulary)
+        out.data, out.last = self.data, list(self.last)
+        return out
+
     def edit(self, start: int, end: int, new: bytes) -> None:
         """Replaces data[start:end]; the table is kept up to start."""
         self.data = self.data[:start] + new + self.data[end:]
@@ -167,7 +173,8 @@ class Text:
                 if table is None:
                     table = PrefixTable(self.vocabulary, data)
                 else:
-                    keep = len(self.text[a:start].encode())
+                    keep = len(os.path.commonprefix([table.data, data]))
+                    table = table.copy()  # another piece may share it
                     table.edit(keep, len(table.data), data[keep:])
             self.pieces[a, b] = table
 
