@@ -44,13 +44,25 @@ class Kernel:
         self.automata = automata
         self.lut = np.frombuffer(runtime.lut, dtype=np.uint8)
         self.sets = {i: _table(runtime.bytes_of_set(i)) for i in runtime.sets}
-        order = max(r.rank for r in runtime.rules) + 1
-        self.rank_bits = int(order).bit_length()
+        self.rank_bits = len(runtime.rules).bit_length()
         self.rules = {r.id: r for r in runtime.rules}
         size = max(self.rules) + 1
         self.kind, self.skip = np.zeros(size, dtype=np.int32), np.zeros(size, dtype=bool)
         for r in runtime.rules:
             self.kind[r.id], self.skip[r.id] = r.kind_id, r.skip
+        # Literals of one byte are looked up together: of two for a byte the better one.
+        self.single = np.full(256, -1, dtype=np.int32)
+        self.others = []
+        for r in sorted(runtime.rules, key=lambda r: (r.rank, r.id)):
+            if r.plan["kind"] == "literal" and len(r.plan["bytes"]) == 1:
+                b = r.plan["bytes"][0]
+                self.single[b] = r.id if self.single[b] < 0 else self.single[b]
+            else:
+                self.others.append(r)
+        self.others.sort(key=lambda r: r.id)
+        self.order = np.zeros(size, dtype=np.int64)  # place of each rule by rank, then id
+        for k, r in enumerate(sorted(runtime.rules, key=lambda r: (r.rank, r.id))):
+            self.order[r.id] = k
         self.words: dict[int, dict[int, list[tuple[bytes, int]]]] = {}
         for (base, lexeme), kind in runtime.keywords().items():
             self.words.setdefault(base, {}).setdefault(len(lexeme), []).append((lexeme, kind))
@@ -133,21 +145,22 @@ class Kernel:
 
     def winners(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(starts, ends, rules): of each position the longest candidate, then the least rank, then the least rule."""
-        starts, ends, rules, ranks = [], [], [], []
-        for r in self.runtime.rules:
+        one = self.single[self.data]
+        at = np.flatnonzero(one >= 0)
+        starts, ends, rules = ([at], [at + 1], [one[at]]) if len(at) else ([], [], [])
+        for r in self.others:
             a, b = self.candidates(r)
             if len(a):
                 starts.append(a)
                 ends.append(b)
                 rules.append(np.full(len(a), r.id, dtype=np.int32))
-                ranks.append(np.full(len(a), r.rank, dtype=np.int64))
         if not starts:
             z = np.zeros(0, dtype=np.int64)
             return z, z, z.astype(np.int32)
-        start, end, rule, rank = (np.concatenate(x) for x in (starts, ends, rules, ranks))
-        # Rules stand in order of their ids, and the sort is stable: equal keys keep the least rule first.
+        start, end, rule = (np.concatenate(x) for x in (starts, ends, rules))
+        # By length, rank, rule: equal ranks are rare, and then the rule decides.
         width = int((end - start).max()).bit_length()
-        low = ((1 << width) - 1 - (end - start)) << self.rank_bits | rank
+        low = ((1 << width) - 1 - (end - start)) << self.rank_bits | self.order[rule]
         if int(start.max()).bit_length() + width + self.rank_bits < 63:
             order = np.argsort(start << (width + self.rank_bits) | low, kind="stable")
         else:
