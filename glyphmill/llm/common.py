@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -62,6 +63,20 @@ def small_batches(spark: SparkSession, rows: int = 1000) -> None:
         spark.conf.set(key, str(rows))
 
 
+def trimmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Passes batches on; at their end, gives memory that this worker has freed back to the system.
+
+    Workers are used again by later tasks, and what the allocator keeps would add
+    up beside the executor's heap.
+    """
+    yield from batches
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):
+        pass  # another C library
+
+
 def sample_of_each(df: DataFrame, by: str, bounds: dict[int, int], key: str) -> DataFrame:
     """Of the rows with each value of ``by``, at most so many: those with the smallest hashes of ``key``.
 

@@ -30,15 +30,16 @@ from __future__ import annotations
 import math
 import uuid
 from collections.abc import Iterator
-from functools import partial
+from functools import partial, wraps
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from glyphmill.llm import words
-from glyphmill.llm.common import components, groups, materialize, sized_broadcast, small_batches
+from glyphmill.llm.common import components, groups, materialize, sized_broadcast, small_batches, trimmed
 
 #: Words in a shingle, minima in a band, bits kept of each minimum.
 SHINGLE, ROWS, BITS = 5, 6, 2
@@ -48,6 +49,17 @@ _FIELDS = 64 // BITS
 _LOW = 0x5555555555555555
 
 
+def _trim(f):
+    """f on batches, with freed memory given back at the end of each task."""
+
+    @wraps(f)
+    def run(batches, *args, **kwargs):
+        return trimmed(f(batches, *args, **kwargs))
+
+    return run
+
+
+
 def bands(percent: int, miss: float = 1e-6) -> int:
     """Bands, a multiple of 16, that miss a pair at the threshold with at most this probability."""
     need = math.log(miss) / math.log(1 - (percent / 100) ** ROWS)
@@ -100,6 +112,7 @@ def minima(sets: np.ndarray, sizes: np.ndarray, count: int) -> np.ndarray:
     return out
 
 
+@_trim
 def _sketches(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
     n_bands = bands(percent)
     count = n_bands * ROWS
@@ -168,6 +181,7 @@ def _possible(left: str, right: str, percent: int) -> Column:
     )
 
 
+@_trim
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for p, q, data, offsets in words.slices(batch.column(2)):
@@ -213,7 +227,7 @@ class _Confirm:
 
 
 def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept for every row; linked at similarity percent/100 or more."""
+    """doc_id, n_shingles, component_id, kept, shingle_class for every row; linked at similarity percent/100 or more."""
     s = _longs(percent)
     rows = materialize(sketch(docs, percent), "sketch")
     reps = rows.where("n > 0").groupBy("cls").agg(
@@ -253,6 +267,7 @@ def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
         F.col("n").alias("n_shingles"),
         component.alias("component_id"),
         F.col("doc_id").eqNullSafe(component).alias("kept"),
+        F.hex("cls").alias("shingle_class"),
     )
 
 
@@ -273,6 +288,7 @@ def _merge(labels: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.array([root(x) for x in values.tolist()])[place]
 
 
+@_trim
 def _touching(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
     """(a, b) of components that hold signatures whose estimate reaches the floor, one row for each that isn't least."""
     count, chance = bands(percent) * ROWS, 2.0**-BITS
@@ -306,6 +322,7 @@ def _edges(comp: np.ndarray, label: np.ndarray) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
 
 
+@_trim
 def _linked(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
     """(a, b) of components that hold sets at the threshold or above."""
     for table in groups(batches):
@@ -386,20 +403,35 @@ def _remaining(
     return out if out.limit(1).count() else None
 
 
+def _classified(batches: Iterator[pa.RecordBatch], text: int, name: str) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for p, q, data, offsets in words.slices(batch.column(text)):
+            found = [x.hex().upper() for x in fingerprints(*distinct_shingles(data, offsets))]
+            part = batch.slice(p, q - p)
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(found, pa.string())], names=[*part.schema.names, name])
+
+
 def one_of_each(docs: DataFrame, percent: int = 80) -> DataFrame:
-    """The rows of docs without near duplicates: one of each group stays, with all its columns."""
-    found = near_duplicates(docs, percent)
-    keep = materialize(found.where("kept").groupBy("doc_id").agg(F.count("*").alias("times")), "keep")
-    once = keep.where("times = 1 and doc_id is not null").select("doc_id")
+    """The rows of docs without near duplicates: one of each group stays, with all its columns.
+
+    Of rows with a null or a repeated doc_id, one stays for each id and shingle set that is kept.
+    """
+    found = near_duplicates(docs, percent).select("doc_id", "kept", "shingle_class")
+    found = materialize(found, "groups")
+    ids = found.groupBy("doc_id").agg(F.count("*").alias("times"), F.max("kept").alias("any"))
+    ids = materialize(ids.where("any"), "kept_ids")
+    once = ids.where("times = 1 AND doc_id IS NOT NULL").select("doc_id")
     once = sized_broadcast(once, once.count())
     out = docs.join(once, docs["doc_id"] == once["doc_id"], "left_semi")
-    # Repeated or null ids: one row of each id and word sequence.
-    again = keep.where("times > 1 or doc_id is null").select("doc_id")
+    again = ids.where("times > 1 OR doc_id IS NULL").select("doc_id")
     if not again.limit(1).count():
         return out
-    rest = docs.join(again, docs["doc_id"].eqNullSafe(again["doc_id"]), "left_semi")
-    upper, spaces = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "\t\n\x0b\f\r"
-    plain = F.translate(F.coalesce("text", F.lit("")), upper + spaces, upper.lower() + " " * len(spaces))
     key = f"_{uuid.uuid4().hex}"  # no column of docs has this name
-    rest = rest.withColumn(key, F.sha2(F.trim(F.regexp_replace(plain, " +", " ")), 256))
+    keep = found.where("kept").join(again.select(F.col("doc_id").alias("id")), F.col("doc_id").eqNullSafe(F.col("id")), "left_semi")
+    keep = keep.select(F.col("doc_id").alias("id"), F.col("shingle_class").alias("cls")).distinct()
+    rest = docs.join(again, docs["doc_id"].eqNullSafe(again["doc_id"]), "left_semi")
+    rest = rest.mapInArrow(
+        partial(_classified, text=docs.columns.index("text"), name=key), StructType([*docs.schema.fields, StructField(key, StringType())])
+    )
+    rest = rest.join(keep, rest["doc_id"].eqNullSafe(keep["id"]) & (rest[key] == keep["cls"]), "left_semi")
     return out.unionByName(rest.dropDuplicates(["doc_id", key]).drop(key))

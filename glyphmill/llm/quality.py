@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from glyphmill.llm import words
-from glyphmill.llm.common import sample_of_each, small_batches
+from glyphmill.llm.common import sample_of_each, small_batches, trimmed
 
 #: Texts of each quality, lines of each that are fitted, steps and penalty of the fit.
 SAMPLE, LINES, STEPS, PENALTY = 1500, 100, 100, 1.0
@@ -224,13 +224,17 @@ def _train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_pydict({"w": np.concatenate([field.state.ravel(), field.move.ravel()])})
 
 
+def _trained(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    return trimmed(_train(batches))
+
+
 def train(docs: DataFrame, labels: DataFrame) -> Field | None:
     known = labels.select("doc_id", F.col("quality").cast("int").alias("good")).where("doc_id is not null").dropna()
     known = known.groupBy(F.col("doc_id").alias("label_id")).agg(F.min("good").alias("good"))
     sample = sample_of_each(known, "good", {0: SAMPLE, 1: SAMPLE}, "label_id")
     # At most 2 * SAMPLE rows.
     rows = docs.select("doc_id", "text").join(F.broadcast(sample), F.col("doc_id") == F.col("label_id"))
-    w = np.array([r["w"] for r in rows.select("doc_id", "text", "good").repartition(1).mapInArrow(_train, "w double").collect()])
+    w = np.array([r["w"] for r in rows.select("doc_id", "text", "good").repartition(1).mapInArrow(_trained, "w double").collect()])
     return Field(w[:-4].reshape(-1, 2), w[-4:].reshape(2, 2)) if len(w) else None
 
 

@@ -24,6 +24,7 @@ table makes no file and returns no rows.
 
 from __future__ import annotations
 
+import os
 import struct
 import uuid
 import zlib
@@ -38,7 +39,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from glyphmill.llm import words
-from glyphmill.llm.common import new_path, small_batches
+from glyphmill.llm.common import new_path, small_batches, trimmed
 
 MAGIC = b"GMTOKEF1"
 _HEADER = struct.Struct("<IIQQQq")  # bytes per id, reserved, documents, ids, null doc_ids, least doc_id
@@ -192,6 +193,7 @@ class Encoder:
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # tasks are the parallel unit
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
@@ -316,6 +318,10 @@ def _write(batches: Iterable[pa.RecordBatch], uri: str, tokenizer: str, end_id:
         yield flush()
 
 
+def _written(batches: Iterable[pa.RecordBatch], uri: str, tokenizer: str, end_id: int) -> Iterator[pa.RecordBatch]:
+    return trimmed(_write(batches, uri, tokenizer, end_id))
+
+
 _MANIFEST = pa.schema([("part", pa.int32()), ("seq", pa.int32()), ("name", pa.string()), ("n_docs", pa.int64()), ("n_ids", pa.int64())])
 
 
@@ -327,7 +333,7 @@ def write(docs: DataFrame, tokenizer: str, end_id: int, uri: str) -> DataFrame:
     # Also by the check value: one doc_id with very many rows still spreads.
     ordered = packed.repartitionByRange("doc_id", "check").sortWithinPartitions("doc_id", "check").select("doc_id", "packed")
     schema = "part int, seq int, name string, n_docs long, n_ids long"
-    run = partial(_write, uri=f"{uri}/files", tokenizer=tokenizer, end_id=end_id)
+    run = partial(_written, uri=f"{uri}/files", tokenizer=tokenizer, end_id=end_id)
     ordered.mapInArrow(run, schema).write.parquet(f"{uri}/manifest")
     found = spark.read.schema(schema).parquet(f"{uri}/manifest")
     # One row a file; totals of parts first, so that no task orders all files' rows but those of one part.

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from glyphmill.llm import words
-from glyphmill.llm.common import sample_of_each, small_batches
+from glyphmill.llm.common import sample_of_each, small_batches, trimmed
 
 #: Sampled rows with the last category, features kept, folds, weight of the penalty.
 SAMPLE, FEATURES, FOLDS, PENALTY = 2000, 512, 3, 1.0
@@ -101,43 +101,55 @@ def _train(batches: Iterator[pa.RecordBatch], count: int) -> Iterator[pa.RecordB
     for batch in batches:
         for p, q, own, feature in features(batch.column(1)):
             pairs = np.unique((own << _BITS) | feature)
-            rows.append((pairs >> _BITS) + total + p)
-            found.append(pairs & ((1 << _BITS) - 1))
+            rows.append(((pairs >> _BITS) + total + p).astype(np.int32))
+            found.append((pairs & ((1 << _BITS) - 1)).astype(np.int32))
         labels.append(np.stack([batch.column(2 + k).to_numpy(zero_copy_only=False) for k in range(count)], axis=1))
         ids.append(batch.column(0).to_numpy())
         total += batch.num_rows
     if not total:
         return
-    row, feature, y, ids = np.concatenate(rows), np.concatenate(found), np.concatenate(labels).astype(np.float64), np.concatenate(ids)
-    order = np.argsort(ids, kind="stable")  # the same sum whatever the order of the rows
+    y, ids = np.concatenate(labels).astype(np.float64), np.concatenate(ids)
+    order = np.argsort(ids, kind="stable")  # the same sums whatever the order of the rows
     place = np.empty(total, dtype=np.int64)
     place[order] = np.arange(total)
-    row, y, ids = place[row], y[order], ids[order]
-    values, column, seen = np.unique(feature, return_inverse=True, return_counts=True)
-    best = np.zeros(len(values))
-    for k in range(count):
-        n1 = y[:, k].sum()
-        hit = np.bincount(column, weights=y[row, k], minlength=len(values))
-        expected = seen * n1 / total
-        spread = np.maximum(expected * (1 - n1 / total) * (1 - seen / total), 1e-9)
-        best = np.maximum(best, (hit - expected) ** 2 / spread * (seen >= 3))
+    y, ids = y[order], ids[order]
+    # Counts over all hashed features, slice by slice: no copy of all pairs.
+    seen = np.zeros(1 << _BITS, dtype=np.int32)
+    hits = np.zeros((count, 1 << _BITS), dtype=np.int32)
+    for k, (row, feature) in enumerate(zip(rows, found)):
+        rows[k] = row = place[row].astype(np.int32)
+        seen += np.bincount(feature, minlength=1 << _BITS).astype(np.int32)
+        for c in range(count):
+            hits[c] += np.bincount(feature[y[row, c] > 0], minlength=1 << _BITS).astype(np.int32)
+    some = np.flatnonzero(seen >= 3)
+    best = np.zeros(len(some))
+    for c in range(count):
+        n1, n = y[:, c].sum(), seen[some].astype(np.float64)
+        expected = n * n1 / total
+        spread = np.maximum(expected * (1 - n1 / total) * (1 - n / total), 1e-9)
+        best = np.maximum(best, (hits[c, some] - expected) ** 2 / spread)
     kept = np.sort(np.argsort(-best, kind="stable")[:FEATURES])
-    kept = kept[best[kept] > 10.8]  # chi-square of one degree at 0.001
-    slot = np.full(len(values), -1)
-    slot[kept] = np.arange(len(kept))
-    x = np.zeros((total, len(kept)))
-    hit = slot[column] >= 0
-    x[row[hit], slot[column[hit]]] = 1
+    values = some[kept[best[kept] > 10.8]]  # chi-square of one degree at 0.001
+    slot = np.full(1 << _BITS, -1, dtype=np.int16)
+    slot[values] = np.arange(len(values))
+    x = np.zeros((total, len(values)))
+    for row, feature in zip(rows, found):
+        hit = slot[feature] >= 0
+        x[row[hit], slot[feature[hit]]] = 1
     fold = (words.mix(ids.view(np.uint64), 5) % np.uint64(FOLDS)).astype(np.int64)
     out_k, out_i, out_f, out_w = [], [], [], []
     for k, w in enumerate(train_chain(x, y, fold)):
         out_k += [k] * len(w)
         out_i += range(len(w))
-        out_f += [*values[kept].tolist(), *[-1] * (len(w) - len(kept))]
+        out_f += [*values.tolist(), *[-1] * (len(w) - len(values))]
         out_w += w.tolist()
     yield pa.RecordBatch.from_pydict({"k": out_k, "i": out_i, "feature": out_f, "w": out_w}, schema=_MODEL)
 
 
+def _trained(batches: Iterator[pa.RecordBatch], count: int) -> Iterator[pa.RecordBatch]:
+    return trimmed(_train(batches, count))
+
+
 _MODEL = pa.schema([("k", pa.int32()), ("i", pa.int32()), ("feature", pa.int32()), ("w", pa.float64())])
 
 
@@ -187,7 +199,7 @@ def train(docs: DataFrame, labels: DataFrame, categories: dict[str, str]) -> Cha
     # At most 3 * SAMPLE rows.
     rows = docs.select("doc_id", "text").join(F.broadcast(sample), F.col("doc_id") == F.col("label_id")).drop("label_id")
     rows = rows.repartition(1)  # the bounded sample, in one task
-    found = rows.mapInArrow(partial(_train, count=len(names)), "k int, i int, feature int, w double").collect()
+    found = rows.mapInArrow(partial(_trained, count=len(names)), "k int, i int, feature int, w double").collect()
     return Chain(found, names)
 
 
