@@ -8,7 +8,8 @@ to the fewest bytes wins.
 Blocks keep the dictionary near however long the text is, and every byte of the
 text is in one. Equal sums go to the language with more distinct texts, then to the
 first by name. If the runner-up needs hardly more bytes, the text is
-rejected; the prediction is still given.
+rejected; the prediction is still given. Texts of a few words compress to whole
+bytes that can't show a margin, so they aren't rejected for that.
 
 The sample: at most SAMPLE distinct texts of each language, those with the
 smallest hashes, PIECE characters of each, DICTIONARY bytes in all. Distinct
@@ -38,8 +39,8 @@ from glyphmill.llm.common import small_batches
 SAMPLE, PIECE, DICTIONARY = 200, 2000, 200_000
 #: Bytes of a block, level of compression.
 BLOCK, LEVEL = 1024, 6
-#: A text is rejected if the runner-up needs less than this share more.
-MARGIN = 0.001
+#: A text of so many bytes of letters is rejected if the runner-up needs less than this share more.
+MARGIN, TELLING = 0.001, 64
 _LETTERS = re.compile(r"[^\W\d_]+")
 
 
@@ -95,7 +96,7 @@ class Classifier:
         best = min(range(len(sizes)), key=sizes.__getitem__)
         rest = sizes[:best] + sizes[best + 1 :]
         margin = (min(rest) - sizes[best]) / sizes[best] if rest else 1.0
-        return self.languages[best], 1 - 0.5 * math.exp(-50 * margin), margin >= MARGIN
+        return self.languages[best], 1 - 0.5 * math.exp(-50 * margin), margin >= MARGIN or len(data) < TELLING
 
 
 _classifiers: dict[tuple, Classifier] = {}
@@ -113,15 +114,15 @@ def _predict(batches: Iterator[pa.RecordBatch], raw: dict[str, bytes]) -> Iterat
             [batch.column(0), batch.column(1), *(pa.array(x, t) for x, t in zip(zip(*found), (pa.string(), pa.float64(), pa.bool_())))]
             if found
             else [batch.column(0), batch.column(1), pa.array([], pa.string()), pa.array([], pa.float64()), pa.array([], pa.bool_())],
-            names=["doc_id", "held_out", "lang_pred", "score", "accepted"],
+            names=["doc_id", "held_out", "lang_pred", "score", "kept"],
         )
 
 
 def identify(docs: DataFrame) -> DataFrame:
-    """doc_id, held_out, lang_pred, score, accepted of every row, learned from the rows that aren't held out."""
+    """doc_id, held_out, lang_pred, score, kept of every row, learned from the rows that aren't held out."""
     small_batches(docs.sparkSession)
     raw = dictionaries(docs, ~held_out())
-    schema = "doc_id long, held_out boolean, lang_pred string, score double, accepted boolean"
+    schema = "doc_id long, held_out boolean, lang_pred string, score double, kept boolean"
     return docs.select("doc_id", held_out().alias("held_out"), "text").mapInArrow(partial(_predict, raw=raw), schema)
 
 

@@ -38,7 +38,7 @@ def test_run_equals_the_stages_one_by_one(spark, folder):
     toxic = {r["doc_id"] for r in toxicity.score(docs, labels).where("toxic").collect()}
     assert toxic == {i for i in range(80) if i % 8 == 0}
     one = docs.where(~F.coalesce(F.col("doc_id").isin(list(toxic)), F.lit(False)))
-    sure = [(r["doc_id"], r["accepted"]) for r in langid.identify(one).collect()]
+    sure = [(r["doc_id"], r["kept"]) for r in langid.identify(one).collect()]
     assert (92, False) in sure and (93, False) in sure
     known = [i for i, ok in sure if ok]
     two = one.where(F.col("doc_id").isin([i for i in known if i is not None]) | (F.col("doc_id").isNull() & F.lit(None in known)))
