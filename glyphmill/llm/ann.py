@@ -30,6 +30,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from glyphmill.llm.common import materialize
+from glyphmill.session import importable
 
 #: Nodes of a shard on average; neighbours of a node; width of the beam in building and in searching.
 SHARD, DEGREE, BUILD, SEARCH = 16384, 32, 64, 128
@@ -187,6 +188,7 @@ def usable(vec_id: str = "vec_id", embedding: str = "embedding") -> Column:
 
 def neighbours(vectors: DataFrame, is_query: Column, k: int = 10, shard: int = SHARD) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest found of each query row, among all rows but its own."""
+    importable(vectors.sparkSession)
     rows = vectors.where(usable()).select("vec_id", "embedding", F.size("embedding").alias("dim"), is_query.alias("asks"))
     same = ["dim", "k1", "k2"]
     keyed = rows.select("vec_id", "embedding", "dim", F.xxhash64("embedding").alias("k1"), F.xxhash64(F.lit(1), "embedding").alias("k2"))

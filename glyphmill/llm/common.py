@@ -12,6 +12,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from glyphmill.session import importable
+
 #: A side with more rows than this is never broadcast (two longs a row: 16 MB of payload).
 BROADCAST_ROWS = 1_000_000
 
@@ -57,6 +59,7 @@ def text_bytes(column: str = "text") -> Column:
 
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
     """Bounds the rows of an Arrow batch, so that a batch of long texts stays small; never raises a lower bound."""
+    importable(spark)
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     now = int(spark.conf.get(key))
     if now <= 0 or now > rows:
