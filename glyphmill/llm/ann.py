@@ -10,7 +10,7 @@ so edges stay few and lead in all directions. Back edges are added and pruned
 alike. Two passes, the second with alpha over 1. Searches of many nodes run side
 by side in numpy.
 
-Each query is then looked for in each shard by beam search; distances of what it
+Each query is then looked for in each shard by beam search, in blocks of a bounded number of queries; distances of what it
 finds are computed anew in double precision on the original vectors, and the
 shards' findings are merged.
 
@@ -35,6 +35,8 @@ from glyphmill.session import importable
 #: Nodes of a shard on average; neighbours of a node; width of the beam in building and in searching.
 SHARD, DEGREE, BUILD, SEARCH = 16384, 32, 64, 128
 ALPHAS = (1.0, 1.2)
+#: Queries that one task holds; more come in blocks, for each of which a shard's graph is built.
+QUERIES = 200_000
 #: Nodes expanded at once, searches side by side.
 EXPAND, SIDE = 4, 256
 _FAR = np.float32(np.inf)
@@ -197,12 +199,17 @@ def neighbours(vectors: DataFrame, is_query: Column, k: int = 10, shard: int = S
     few = few.withColumn("rep", F.first("vec_id").over(by))
     few = materialize(few.select("vec_id", "rep", "dim", F.when(F.col("r") == 1, F.col("embedding")).alias("embedding")), "vectors")
     nodes = few.where(F.col("embedding").isNotNull())
-    sizes = nodes.groupBy("dim").agg(F.ceil(F.count("*") / shard).alias("shards"))  # a row for each length of vector
-    dealt = nodes.join(sizes, "dim").select(
-        F.xxhash64("dim", F.pmod(F.xxhash64("rep"), F.col("shards"))).alias("place"), "rep", "embedding"
+    asking = rows.where(F.coalesce("asks", F.lit(False)))
+    # A row for each length of vector: its shards, and the blocks its queries come in.
+    sizes = nodes.groupBy("dim").agg(F.ceil(F.count("*") / shard).alias("shards"))
+    sizes = sizes.join(asking.groupBy("dim").agg(F.ceil(F.count("*") / QUERIES).alias("blocks")), "dim")
+    up_to = lambda c: F.explode(F.sequence(F.lit(0).cast("long"), F.col(c) - 1))
+    dealt = nodes.join(sizes, "dim").withColumn("block", up_to("blocks")).select(
+        F.xxhash64("dim", F.pmod(F.xxhash64("rep"), F.col("shards")), "block").alias("place"), "rep", "embedding"
     )
-    queries = rows.where(F.coalesce("asks", F.lit(False))).join(sizes, "dim").withColumn("s", F.explode(F.sequence(F.lit(0).cast("long"), F.col("shards") - 1)))
-    queries = queries.select(F.xxhash64("dim", "s").alias("place"), F.col("vec_id").alias("query_id"), "embedding")
+    queries = asking.join(sizes, "dim").withColumn("s", up_to("shards"))
+    block = F.pmod(F.xxhash64("vec_id"), F.col("blocks"))
+    queries = queries.select(F.xxhash64("dim", "s", block).alias("place"), F.col("vec_id").alias("query_id"), "embedding")
     found = dealt.groupBy("place").cogroup(queries.groupBy("place")).applyInArrow(
         partial(_search, k=k), "query_id long, rep long, score double"
     )
