@@ -12,7 +12,8 @@ rejected; the prediction is still given. Texts of a few words compress to whole
 bytes that can't show a margin, so they aren't rejected for that.
 
 The sample: at most SAMPLE distinct texts of each language, those with the
-smallest hashes, PIECE characters of each, DICTIONARY bytes in all. Distinct
+smallest hashes, PIECE characters of each, DICTIONARY bytes in all, for the
+LANGUAGES languages with the most distinct texts. Distinct
 texts count once, so a text with very many copies doesn't fill it.
 
 Row rules: null text, or text without a letter, is ``und`` with score 0 and is
@@ -37,6 +38,8 @@ from glyphmill.llm.common import small_batches
 
 #: Bounds of what is learned from each language: texts, characters of each, bytes of the dictionary.
 SAMPLE, PIECE, DICTIONARY = 200, 2000, 200_000
+#: Most languages that are learned, the commonest.
+LANGUAGES = 64
 #: Bytes of a block, level of compression.
 BLOCK, LEVEL = 1024, 6
 #: A text of so many bytes of letters is rejected if the runner-up needs less than this share more.
@@ -59,17 +62,18 @@ def dictionaries(docs: DataFrame, learn: Column) -> dict[str, bytes]:
     rows = docs.where(learn & F.col("text").isNotNull() & F.col("lang").isNotNull() & F.col("doc_id").isNotNull())
     rows = rows.select("lang", F.xxhash64("text").alias("h"), "doc_id")
     once = rows.groupBy("lang", "h").agg(F.min("doc_id").alias("doc_id"))
+    # The commonest languages in order, which settles equal sums.
+    common = once.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()
+    order = [r["lang"] for r in common]
     rank = F.row_number().over(Window.partitionBy("lang").orderBy("h"))
-    ids = once.withColumn("r", rank).where(F.col("r") <= SAMPLE).select("doc_id", "h", F.col("lang").alias("of"))
-    # SAMPLE rows for each language.
+    ids = once.where(F.col("lang").isin(order)).withColumn("r", rank).where(F.col("r") <= SAMPLE)
+    ids = ids.select("doc_id", "h", F.col("lang").alias("of"))
+    # At most SAMPLE rows for each of LANGUAGES.
     texts = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").where(F.xxhash64("text") == F.col("h"))
     found: dict[str, dict[int, str]] = {}
     for r in texts.select("of", "h", F.substring("text", 1, PIECE).alias("piece")).distinct().collect():
         found.setdefault(r["of"], {})[r["h"]] = r["piece"]
-    # A row for each language: the commonest comes first, which settles equal sums.
-    counts = {r["lang"]: r["n"] for r in once.groupBy("lang").agg(F.count("*").alias("n")).collect()}
-    order = sorted(found, key=lambda k: (-counts[k], k))
-    return {k: b"".join(letters(found[k][h]) for h in sorted(found[k]))[:DICTIONARY] for k in order}
+    return {k: b"".join(letters(found[k][h]) for h in sorted(found[k]))[:DICTIONARY] for k in order if k in found}
 
 
 class Classifier:
