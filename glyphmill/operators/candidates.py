@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from glyphmill.functions.columns import in_set
+from glyphmill.functions.columns import in_bytes, in_set
 from glyphmill.spec.artifact import Rule, Runtime
 
 
@@ -23,6 +23,12 @@ def _run_end(inside: Column, page: list[str]) -> Column:
     return F.min(F.when(~inside, F.col("pos"))).over(down)
 
 
+def next_stop(rows: DataFrame, stops: list[int], page: list[str]) -> DataFrame:
+    """rows (page, pos, b) with the place of the first of the bytes ``stops`` at or after each; the page's size if none follows."""
+    size = F.max("pos").over(Window.partitionBy(*page)) + 1
+    return rows.withColumn("next_stop", F.coalesce(_run_end(~in_bytes(F.col("b"), stops), page), size))
+
+
 def with_candidates(rows: DataFrame, runtime: Runtime, page: list[str], rules: list[Rule] | None = None) -> DataFrame:
     """rows (page, pos, b) with a column len_<rule id> for each rule that needs no automaton: the candidate's length or 0."""
     up = Window.partitionBy(*page).orderBy("pos")

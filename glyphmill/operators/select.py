@@ -58,6 +58,13 @@ def coverage(rows: DataFrame, tokens: DataFrame, page: list[str]) -> DataFrame:
     return rows.join(marks, [*page, "pos"], "left").withColumn("covered", open_ > 0).drop("d")
 
 
+def coverage_by_reach(rows: DataFrame, tokens: DataFrame, page: list[str]) -> DataFrame:
+    """The same by the furthest end of the tokens that start at or before each byte."""
+    ends = tokens.groupBy(*page, F.col("start").alias("pos")).agg(F.max("end").alias("reach"))
+    far = F.max("reach").over(Window.partitionBy(*page).orderBy("pos").rowsBetween(Window.unboundedPreceding, 0))
+    return rows.join(ends, [*page, "pos"], "left").withColumn("covered", F.coalesce(far > F.col("pos"), F.lit(False))).drop("reach")
+
+
 def error_spans(tokens: DataFrame, sizes: DataFrame, page: list[str]) -> DataFrame:
     """page, start, end: what lies between tokens, and before the first and after the last."""
     ends = sizes.select(*page, F.col("size").alias("start"), F.col("size").alias("end"))

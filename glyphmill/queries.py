@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from glyphmill.functions.columns import byte_class, fnv1a, padded_rows, span_error
+from glyphmill.functions.columns import byte_class, fnv1a, in_set, padded_rows, span_error
 from glyphmill.operators import candidates as C
 from glyphmill.operators import lines as L
 from glyphmill.operators import pages as P
@@ -367,6 +367,35 @@ def coverage_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.coverage(rows, chosen, PAGE).groupBy("doc_id").agg(F.count_if("covered").alias("covered"), F.count_if(~F.col("covered")).alias("unknown"))
 
 
+@query(ORACLES["coverage_bytes"])
+def coverage_by_reach(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same by the furthest end of earlier tokens."""
+    rows = _rows(_statement_pages(spark, sf_dir))
+    chosen = S.greedy(C.winners(C.candidates(rows, builtin(), PAGE), PAGE), PAGE)
+    return S.coverage_by_reach(rows, chosen, PAGE).groupBy("doc_id").agg(F.count_if("covered").alias("covered"), F.count_if(~F.col("covered")).alias("unknown"))
+
+
+@query(
+    f"WITH {_SRC}, {_POS}, stop AS (SELECT doc_id, p FROM pos WHERE rest[1] = chr(10))"
+    " SELECT pos.doc_id, pos.p::INTEGER AS pos, min(stop.p)::INTEGER AS next_stop FROM pos JOIN stop ON stop.doc_id = pos.doc_id AND stop.p >= pos.p GROUP BY pos.doc_id, pos.p"
+)
+def next_line_end(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """From each byte of the statements the next line feed."""
+    return C.next_stop(_rows(_statement_pages(spark, sf_dir)), [10], PAGE).select("doc_id", "pos", "next_stop")
+
+
+@query(
+    f"WITH {_SRC}, {_POS} SELECT doc_id, count(*) FILTER (regexp_matches(rest, '^[A-Za-z0-9_]'))::BIGINT AS name_bytes,"
+    " count(*) FILTER (regexp_matches(rest, '^[0-9]'))::BIGINT AS digit_bytes FROM pos GROUP BY doc_id"
+)
+def class_membership(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes of the statements in the class sets of names and of digits."""
+    plans = {r.name: r.plan for r in builtin().rules}
+    member = lambda k, s: F.count_if(in_set(F.col("b"), builtin(), plans[k][s]))
+    rows = L.byte_rows(statements(spark, sf_dir))
+    return rows.groupBy("doc_id").agg(member("ident", "tailClassSetID").alias("name_bytes"), member("int", "bodyClassSetID").alias("digit_bytes"))
+
+
 _PACKED = "p::BIGINT + len::BIGINT * 65536 + kind::BIGINT * 4294967296"
 
 

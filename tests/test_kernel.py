@@ -9,7 +9,8 @@ from glyphmill.plans.kernel import Kernel, line_starts, page_cuts
 from glyphmill.spec.artifact import load
 from glyphmill.spec.builtin import builtin, builtin_artifact
 from glyphmill.spec.byteset import DIGIT, IDENT_CONTINUE, LETTER, LOWER, NEWLINE, UPPER, ByteSet
-from glyphmill.spec.compiler import Options, compile_spec
+from glyphmill.spec.compiler import Options as CompileOptions
+from glyphmill.spec.compiler import compile_spec
 from glyphmill.spec.dsl import Spec
 from glyphmill.spec.pattern import alt, at_least, literal, many, many1, none_of, one_of, times
 
@@ -87,7 +88,7 @@ def rich():
     s.token("arrow", literal("->"))
     s.token("wide", literal("0123456789abc"))
     s.keywords("name", {"ab": "kwAb", "abc": "kwAbc"})
-    return load(compile_spec(s, Options(window_bytes=1)))
+    return load(compile_spec(s, CompileOptions(window_bytes=1)))
 
 
 @pytest.mark.parametrize("automata", [False, True])
@@ -102,7 +103,7 @@ def test_random_sources_against_the_scalar_model(automata):
 def test_automata_only_run_in_their_profile():
     s = Spec("aa")
     s.token("pair", alt(literal("aa"), literal("bb")))
-    r = load(compile_spec(s, Options(window_bytes=1)))
+    r = load(compile_spec(s, CompileOptions(window_bytes=1)))
     assert run(r, [b"aa"], True)[0][0] == [(0, 2, 0, 0, False)]
     assert run(r, [b"aa"], False) == [([], [(0, 2)])]
 
@@ -175,3 +176,18 @@ def test_lower_letters_only_start_at_runs():
     s = Spec("r")
     s.token("low", at_least(one_of(LOWER), 2))
     assert run(load(compile_spec(s)), [b"aBcdE"])[0] == ([(2, 4, 0, 0, False)], [(0, 2), (4, 5)])
+
+
+def test_one_page():
+    from glyphmill.plans.arrow import Options
+    from glyphmill.plans.page import PageResult, Token, lex_page
+
+    assert lex_page(b"==", 1).tokens() == [Token(6, 0, 0, 1)] and lex_page(b"==", 0) == PageResult([], [])
+    r = lex_page(b"let @\n" + b"\0" * 10, 6, base=100)
+    assert r.tokens() == [Token(18, 0, 100, 103)] and r.error_spans == [(4, 5)] and r.rule_ids == [2] and r.rows(3) == [r.packed[0], 0, 0]
+    assert [t.flags for t in lex_page(b"let x", options=Options(emit_skip=True)).tokens()] == [0, 1, 0]
+    s = Spec("aa")
+    s.token("pair", alt(literal("aa"), literal("bb")))
+    automaton = load(compile_spec(s, CompileOptions(window_bytes=1)))
+    assert len(lex_page(b"aa", runtime=automaton, options=Options(profile="v1-fallback")).packed) == 1
+    assert lex_page(b"aa", runtime=automaton).error_spans == [(0, 2)]
