@@ -8,8 +8,7 @@ rules reject texts that are very short or repeat themselves.
 
 The field is fitted by maximum likelihood to a bounded sample: at most SAMPLE
 texts of each quality in the table labels, those with the smallest hashes, in
-one task. A line's label in training is its text's quality, except that repeated
-lines are boilerplate.
+one task. A line's label in training is its text's quality.
 
 Everything that is counted is counted over whole texts. Words are
 ``[^\\x20\\x09-\\x0D]+``, as written. Row rules: null text is empty, has no words
@@ -209,7 +208,6 @@ def fit(sequences: list[tuple[np.ndarray, np.ndarray]]) -> Field:
 
 def _train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     found = []
-    repeated = Lines.NAMES.index("repeated line")
     for batch in batches:
         ids, good = batch.column(0).to_pylist(), batch.column(2).to_pylist()
         for p, _, data, offsets in words.slices(batch.column(1)):
@@ -217,7 +215,7 @@ def _train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for i in range(len(offsets) - 1):
                 x = lines.x[lines.offsets[i] : lines.offsets[i + 1]][:LINES]
                 if len(x):
-                    found.append((ids[p + i], x, np.where(x[:, repeated], BOILERPLATE, good[p + i])))
+                    found.append((ids[p + i], x, np.full(len(x), good[p + i])))
     if found:
         found.sort(key=lambda f: f[0])  # the same sums whatever the order of the rows
         field = fit([(x, y) for _, x, y in found])
