@@ -31,9 +31,9 @@ from glyphmill.llm import words
 from glyphmill.llm.common import sample_of_each, small_batches, trimmed
 
 #: Sampled rows with the last category, features kept, folds, weight of the penalty.
-SAMPLE, FEATURES, FOLDS, PENALTY = 2000, 512, 3, 1.0
+SAMPLE, FEATURES, FOLDS, PENALTY = 2000, 512, 3, 0.3
 #: Probability of the last category from which a document is rejected.
-THRESHOLD = 0.5
+THRESHOLD = 0.4
 _BITS = 22
 _LETTERS = np.zeros(256, dtype=bool)
 _LETTERS[97:123] = True
