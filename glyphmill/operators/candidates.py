@@ -73,10 +73,11 @@ def automaton_candidates(pages: DataFrame, runtime: Runtime, page: list[str], vi
     from pyspark.sql.types import StructType
 
     from glyphmill.plans.arrow import _kernel
-    from glyphmill.session import importable
+    from glyphmill.session import bounded_batches, importable
     from glyphmill.spec.artifact import canonical
 
     importable(pages.sparkSession)
+    bounded_batches(pages.sparkSession)
     schema = StructType([pages.schema[c] for c in page] + StructType.fromDDL("pos int, rule_id int, rank int, len int").fields)
     artifact, arrow, keys = canonical(runtime.artifact), to_arrow_schema(schema), len(page)
 

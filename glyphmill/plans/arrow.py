@@ -21,7 +21,7 @@ from pyspark.sql.types import StructType
 
 from glyphmill.functions.columns import BUCKETS, OVERFLOW, PACKED_LENGTH, unpack
 from glyphmill.plans.kernel import Kernel, line_starts, page_cuts
-from glyphmill.session import importable
+from glyphmill.session import bounded_batches, importable
 from glyphmill.sources.text import slices
 from glyphmill.spec.artifact import V0, V1, Runtime, canonical, load
 from glyphmill.spec.builtin import builtin
@@ -135,6 +135,7 @@ def _schema(df: DataFrame, ids: tuple[str, ...], more: str) -> StructType:
 def plan_pages(df: DataFrame, text: str = "text", ids: tuple[str, ...] = ("doc_id",), target_bytes: int = 32768) -> DataFrame:
     """ids and a row for each page of each source: page_id, start, end, byte_count, line_break_count, oversize, bucket."""
     importable(df.sparkSession)
+    bounded_batches(df.sparkSession)
     schema = _schema(df, ids, PAGE)
     run = partial(_run, schema=to_arrow_schema(schema), target=target_bytes)
     return df.select(*ids, text).mapInArrow(run, schema)
@@ -148,6 +149,7 @@ def lex(
     if options.target_bytes <= 0:
         raise ValueError("target_bytes must be positive")
     importable(df.sparkSession)
+    bounded_batches(df.sparkSession)
     schema = _schema(df, ids, f"{PAGE}, {TOKENS}")
     run = partial(
         _run, schema=to_arrow_schema(schema), target=options.target_bytes, artifact=canonical(runtime.artifact),
