@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glyphmill.session import importable
+from glyphmill.session import bounded_batches, importable
 
 #: A side with more rows than this is never broadcast (two longs a row: 16 MB of payload).
 BROADCAST_ROWS = 1_000_000
@@ -57,13 +57,10 @@ def text_bytes(column: str = "text") -> Column:
     return F.encode(F.coalesce(F.col(column), F.lit("")), "UTF-8")
 
 
-def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Bounds the rows of an Arrow batch, so that a batch of long texts stays small; never raises a lower bound."""
+def small_batches(spark: SparkSession) -> None:
+    """What a session needs before its workers get texts: the package, and batches of few rows."""
     importable(spark)
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    now = int(spark.conf.get(key))
-    if now <= 0 or now > rows:
-        spark.conf.set(key, str(rows))
+    bounded_batches(spark)
 
 
 def trimmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
