@@ -9,7 +9,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from glyphmill.operators.candidates import automaton_candidates, candidates, winners
-from glyphmill.operators.lines import byte_rows
 from glyphmill.operators.pages import page_views
 from glyphmill.operators.select import greedy, remap_keywords, with_lexemes
 from glyphmill.spec.artifact import Runtime
@@ -31,5 +30,3 @@ def tokens(df: DataFrame, text: str = "text", ids: tuple[str, ...] = ("doc_id",)
         *page, (F.col("base") + F.col("start")).alias("start"), (F.col("base") + F.col("end")).alias("end"), "rule_id", "kind_id", "skip", "lexeme"
     )
 
-
-__all__ = ["byte_rows", "tokens"]

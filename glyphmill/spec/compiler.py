@@ -12,7 +12,7 @@ from dataclasses import dataclass
 
 from glyphmill.spec import artifact as A
 from glyphmill.spec.byteset import ByteSet
-from glyphmill.spec.dsl import EMIT, SKIP, Place, Spec
+from glyphmill.spec.dsl import EMIT, Place, Spec
 from glyphmill.spec.pattern import NEVER, Literal, OneOf, Pattern, Repeat, Seq, accepts, derivative, normalize, primitive_sets
 
 
@@ -252,5 +252,3 @@ def compile_spec(spec: Spec, options: Options | None = None, generator: str = "d
     """The artifact of a specification."""
     return lower(validate(normalize_spec(spec)), options or Options(), generator)
 
-
-__all__ = ["EMIT", "SKIP", "Options", "SpecError", "compile_spec"]
