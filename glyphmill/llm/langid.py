@@ -57,6 +57,11 @@ def held_out(doc_id: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % 3 == 1, F.lit(False))
 
 
+def _below(share: float) -> int:
+    """The 64-bit value that this share of all hashes doesn't exceed."""
+    return (1 << 63) - 1 if share >= 1 else int(share * 2**64) - (1 << 63)
+
+
 def dictionaries(docs: DataFrame, learn: Column) -> dict[str, bytes]:
     """A raw dictionary for each language of the rows that may be learned from."""
     rows = docs.where(learn & F.col("text").isNotNull() & F.col("lang").isNotNull() & F.col("doc_id").isNotNull())
@@ -65,8 +70,13 @@ def dictionaries(docs: DataFrame, learn: Column) -> dict[str, bytes]:
     # The commonest languages in order, which settles equal sums.
     common = once.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()
     order = [r["lang"] for r in common]
+    if not order:
+        return {}
+    # Hashes are uniform: the smallest are below a bound by the language's size, so few rows are ranked.
+    bound = [x for r in common for x in (F.lit(r["lang"]), F.lit(_below(4 * SAMPLE / r["n"])))]
+    few = once.where(F.col("lang").isin(order) & (F.col("h") <= F.element_at(F.create_map(*bound), F.col("lang"))))
     rank = F.row_number().over(Window.partitionBy("lang").orderBy("h"))
-    ids = once.where(F.col("lang").isin(order)).withColumn("r", rank).where(F.col("r") <= SAMPLE)
+    ids = few.withColumn("r", rank).where(F.col("r") <= SAMPLE)
     ids = ids.select("doc_id", "h", F.col("lang").alias("of"))
     # At most SAMPLE rows for each of LANGUAGES.
     texts = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").where(F.xxhash64("text") == F.col("h"))
