@@ -385,8 +385,8 @@ def next_line_end(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"WITH {_SRC}, {_POS} SELECT doc_id, count(*) FILTER (regexp_matches(rest, '^[A-Za-z0-9_]'))::BIGINT AS name_bytes,"
-    " count(*) FILTER (regexp_matches(rest, '^[0-9]'))::BIGINT AS digit_bytes FROM pos GROUP BY doc_id"
+    f"WITH {_SRC}, {_POS} SELECT doc_id, count(*) FILTER (WHERE regexp_matches(rest, '^[A-Za-z0-9_]'))::BIGINT AS name_bytes,"
+    " count(*) FILTER (WHERE regexp_matches(rest, '^[0-9]'))::BIGINT AS digit_bytes FROM pos GROUP BY doc_id"
 )
 def class_membership(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bytes of the statements in the class sets of names and of digits."""
