@@ -12,9 +12,10 @@ rejected; the prediction is still given. Texts of a few words compress to whole
 bytes that can't show a margin, so they aren't rejected for that.
 
 The sample: at most SAMPLE distinct texts of each language, those with the
-smallest hashes, PIECE characters of each, DICTIONARY bytes in all, for the
-LANGUAGES languages with the most distinct texts. Distinct
-texts count once, so a text with very many copies doesn't fill it.
+smallest hashes, PIECE characters of each, DICTIONARY bytes in all. Distinct
+texts count once, so a text with very many copies doesn't fill it. Every language
+is learned; where there are more than GROUP, a worker makes the compressors of
+GROUP languages at a time and texts pass all groups in turn.
 
 Row rules: null text, or text without a letter, is ``und`` with score 0 and is
 rejected. Without any labelled text all rows are. A null doc_id is not learned
@@ -26,7 +27,7 @@ from __future__ import annotations
 
 import math
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import partial
 
 import pyarrow as pa
@@ -38,8 +39,8 @@ from glyphmill.llm.common import small_batches
 
 #: Bounds of what is learned from each language: texts, characters of each, bytes of the dictionary.
 SAMPLE, PIECE, DICTIONARY = 200, 2000, 200_000
-#: Most languages that are learned, the commonest.
-LANGUAGES = 64
+#: Languages whose compressors a worker holds together, bytes of letters that pass them in turn.
+GROUP, PASS = 64, 16_000_000
 #: Bytes of a block, level of compression.
 BLOCK, LEVEL = 1024, 6
 #: A text of so many bytes of letters is rejected if the runner-up needs less than this share more.
@@ -57,9 +58,9 @@ def held_out(doc_id: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % 3 == 1, F.lit(False))
 
 
-def _below(share: float) -> int:
+def _below(share: Column) -> Column:
     """The 64-bit value that this share of all hashes doesn't exceed."""
-    return (1 << 63) - 1 if share >= 1 else int(share * 2**64) - (1 << 63)
+    return F.when(share >= 1, F.lit((1 << 63) - 1)).otherwise((share * 2.0**64 - 2.0**63).cast("long"))
 
 
 def dictionaries(docs: DataFrame, learn: Column) -> dict[str, bytes]:
@@ -67,18 +68,19 @@ def dictionaries(docs: DataFrame, learn: Column) -> dict[str, bytes]:
     rows = docs.where(learn & F.col("text").isNotNull() & F.col("lang").isNotNull() & F.col("doc_id").isNotNull())
     rows = rows.select("lang", F.xxhash64("text").alias("h"), "doc_id")
     once = rows.groupBy("lang", "h").agg(F.min("doc_id").alias("doc_id"))
-    # The commonest languages in order, which settles equal sums.
-    common = once.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()
-    order = [r["lang"] for r in common]
-    if not order:
+    # A row for each language: the commonest comes first, which settles equal sums.
+    sizes = {r["lang"]: r["n"] for r in once.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    if not sizes:
         return {}
+    order = sorted(sizes, key=lambda k: (-sizes[k], k))
     # Hashes are uniform: the smallest are below a bound by the language's size, so few rows are ranked.
-    bound = [x for r in common for x in (F.lit(r["lang"]), F.lit(_below(4 * SAMPLE / r["n"])))]
-    few = once.where(F.col("lang").isin(order) & (F.col("h") <= F.element_at(F.create_map(*bound), F.col("lang"))))
+    table = docs.sparkSession.createDataFrame(list(sizes.items()), "lang string, n long")
+    bounds = F.broadcast(table.select("lang", _below(F.lit(4.0 * SAMPLE) / F.col("n")).alias("bound")))
+    few = once.join(bounds, "lang").where(F.col("h") <= F.col("bound")).drop("bound")
     rank = F.row_number().over(Window.partitionBy("lang").orderBy("h"))
     ids = few.withColumn("r", rank).where(F.col("r") <= SAMPLE)
     ids = ids.select("doc_id", "h", F.col("lang").alias("of"))
-    # At most SAMPLE rows for each of LANGUAGES.
+    # At most SAMPLE rows for each language.
     texts = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").where(F.xxhash64("text") == F.col("h"))
     found: dict[str, dict[int, str]] = {}
     for r in texts.select("of", "h", F.substring("text", 1, PIECE).alias("piece")).distinct().collect():
@@ -88,30 +90,52 @@ def dictionaries(docs: DataFrame, learn: Column) -> dict[str, bytes]:
 
 class Classifier:
     def __init__(self, raw: dict[str, bytes]):
-        self.languages = list(raw)
-        self.compressors = []
-        for k in self.languages:
-            d = zstandard.ZstdCompressionDict(raw[k], dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-            d.precompute_compress(level=LEVEL)
-            self.compressors.append(
-                zstandard.ZstdCompressor(level=LEVEL, dict_data=d, write_content_size=False, write_dict_id=False).compress
-            )
-
-    def sizes(self, data: bytes) -> list[int]:
-        blocks = [data[i : i + BLOCK] for i in range(0, len(data), BLOCK)]
-        return [sum([len(c(b)) for b in blocks]) for c in self.compressors]
+        self.languages, self.raw = list(raw), list(raw.values())
+        self.all = self._compressors(0) if len(raw) <= GROUP else None
 
-    def __call__(self, text: str | None) -> tuple[str, float, bool]:
-        """Language, score, whether the margin is wide enough."""
-        data = letters(text) if text and self.languages else b""
-        if not data:
+    def _compressors(self, first: int) -> list:
+        found = []
+        for raw in self.raw[first : first + GROUP]:
+            d = zstandard.ZstdCompressionDict(raw, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+            d.precompute_compress(level=LEVEL)
+            found.append(zstandard.ZstdCompressor(level=LEVEL, dict_data=d, write_content_size=False, write_dict_id=False).compress)
+        return found
+
+    def sizes(self, datas: list[bytes]) -> list[list[int]]:
+        """Of each text, the sum of its blocks with each language."""
+        found: list[list[int]] = [[] for _ in datas]
+        for first in range(0, len(self.raw), GROUP):
+            compressors = self.all or self._compressors(first)
+            for data, own in zip(datas, found):
+                blocks = [data[i : i + BLOCK] for i in range(0, len(data), BLOCK)]
+                own += [sum([len(c(b)) for b in blocks]) for c in compressors]
+        return found
+
+    def _judge(self, data: bytes, sizes: list[int]) -> tuple[str, float, bool]:
+        if not sizes or not data:
             return "und", 0.0, False
-        sizes = self.sizes(data)
         best = min(range(len(sizes)), key=sizes.__getitem__)
         rest = sizes[:best] + sizes[best + 1 :]
         margin = (min(rest) - sizes[best]) / sizes[best] if rest else 1.0
         return self.languages[best], 1 - 0.5 * math.exp(-50 * margin), margin >= MARGIN or len(data) < TELLING
 
+    def __call__(self, text: str | None) -> tuple[str, float, bool]:
+        """Language, score, whether the margin is wide enough."""
+        return next(self.each([text]))
+
+    def each(self, texts: Iterable[str | None]) -> Iterator[tuple[str, float, bool]]:
+        """The same of each text; texts of about PASS bytes go through the groups of languages together."""
+        datas: list[bytes] = []
+        held = 0
+        for text in texts:
+            datas.append(letters(text) if text and self.languages else b"")
+            held += len(datas[-1])
+            # With a single group nothing is made anew, so no text has to wait.
+            if self.all is not None or held >= PASS:
+                yield from map(self._judge, datas, self.sizes(datas))
+                datas, held = [], 0
+        yield from map(self._judge, datas, self.sizes(datas))
+
 
 _classifiers: dict[tuple, Classifier] = {}
 
@@ -123,7 +147,7 @@ def _predict(batches: Iterator[pa.RecordBatch], raw: dict[str, bytes]) -> Iterat
         _classifiers[key] = Classifier(raw)
     classify = _classifiers[key]
     for batch in batches:
-        found = [classify(x.as_py()) for x in batch.column(batch.num_columns - 1)]
+        found = list(classify.each(x.as_py() for x in batch.column(batch.num_columns - 1)))
         yield pa.RecordBatch.from_arrays(
             [batch.column(0), batch.column(1), *(pa.array(x, t) for x, t in zip(zip(*found), (pa.string(), pa.float64(), pa.bool_())))]
             if found
@@ -143,7 +167,7 @@ def identify(docs: DataFrame) -> DataFrame:
 def _keep(batches: Iterator[pa.RecordBatch], raw: dict[str, bytes], text: int) -> Iterator[pa.RecordBatch]:
     classify = Classifier(raw)
     for batch in batches:
-        yield batch.filter(pa.array([classify(x.as_py())[2] for x in batch.column(text)], pa.bool_()))
+        yield batch.filter(pa.array([x[2] for x in classify.each(x.as_py() for x in batch.column(text))], pa.bool_()))
 
 
 def accepted(docs: DataFrame) -> DataFrame:

@@ -227,6 +227,29 @@ def test_nothing_is_learned_from_held_out_rows(spark):
     assert a == b
 
 
+def test_every_language_is_learned(spark):
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(7))
+    stems = {f"l{k:02d}": [word() for _ in range(12)] for k in range(70)}
+    # The later a language, the fewer its texts.
+    rows = [(k, " ".join(rng.choice(w) for _ in range(30)), k) for k, w in stems.items() for _ in range(6 + (k < "l40") + (k < "l20"))]
+    rows = [(i, text, lang) for i, (_, text, lang) in enumerate(rows)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = langid.identify(df).collect()
+    assert len(got) == len(rows) and all(r["lang_pred"] == rows[r["doc_id"]][2] for r in got)
+    assert langid.accepted(df).count() == len(rows)
+
+
+def test_groups_of_languages_equal_one(monkeypatch):
+    raw = {k: (f"{k} {k}{k} alpha {k}beta " * 40).encode() for k in "abcdefg"}
+    some = ["a aa alpha", None, "12", "gbeta g " * 300, "alpha", "cbeta fbeta alpha " * 9]
+    want = list(langid.Classifier(raw).each(some))
+    monkeypatch.setattr(langid, "GROUP", 3)
+    for size in (1, 100, 10**6):
+        monkeypatch.setattr(langid, "PASS", size)
+        assert list(langid.Classifier(raw).each(some)) == want
+
+
 def test_blocks_cover_the_whole_text():
     c = langid.Classifier({"a": b"alpha beta gamma " * 50, "b": b"uno dos tres " * 50})
     text = "alpha beta " * 3000
