@@ -82,13 +82,18 @@ _KEPT = frozenset(
     html main menu nav ol section span table title ul
     """.split()
 )
+# An attribute's value. Quotes count only here; one that is never closed doesn't count.
+_QUOTED, _UNQUOTED = r"""(?:"[^"]*+"|'[^']*+')""", r"""[^\s"'<>][^\s<>]*+"""
+# Every part is possessive and a tag with a quoted value always matches, so no place is read again from each start before it.
+# Such a tag ends at the next tag or the page's end if it has no end of its own; without a quoted value that is text.
 _TOKEN = re.compile(
     rf"<!--.*?(?:-->|\Z)|<(?P<raw>{_RAW})\b[^>]*(?<!/)>.*?(?:</(?P=raw)\s*>|\Z)"
-    r"""|<(?P<close>/?)(?P<name>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attrs>(?:[^<>"']|"[^"]{0,5000}"|'[^']{0,5000}'){0,3000}+)>"""
+    r"|<(?P<close>/?)(?P<name>[a-zA-Z][a-zA-Z0-9:-]*+)"
+    rf"(?P<attrs>(?:[^<>=]++|=\s*+(?:(?P<quoted>{_QUOTED})|{_UNQUOTED})?+)*+)(?(quoted)(?:>|(?=<)|\Z)|>)"
     r"|</?[a-zA-Z!?][^<>]*(?:>|\Z)",
     re.S | re.I,
 )
-_MARKS = re.compile(r"""(?:^|\s)(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
+_ATTRIBUTE = re.compile(rf"([^\s/=]++)(?:\s*+=\s*+({_QUOTED}|{_UNQUOTED})?+)?+")
 _WORD = re.compile(r"[^\W_]+")
 _OPEN, _CONTENT, _BOILERPLATE = 0, 1, 2
 
@@ -104,8 +109,10 @@ def _marked(attrs: str) -> bool:
     """Whether class, id or role has one of the words."""
     if "=" not in attrs:
         return False
-    for m in _MARKS.finditer(attrs):
-        value = (m[2] or m[3] or m[4] or "").lower()
+    for m in _ATTRIBUTE.finditer(attrs):
+        if not m[2] or m[1].lower() not in ("class", "id", "role"):
+            continue
+        value = m[2].lower()
         if not _OUT_WORDS.isdisjoint(_WORD.findall(value.replace("_", "-"))):
             return True
     return False

@@ -1,6 +1,7 @@
 import itertools
 import os
 import random
+import time
 
 import pytest
 
@@ -122,6 +123,27 @@ def test_main_text(page, text):
     assert html_blocks.extract(page) == text
 
 
+@pytest.mark.parametrize("value", ["x" * 5001, "x" * 300_000, "<p>" * 4000, "a > b </div> " * 1000, "class='sidebar' " * 1000])
+def test_long_tags_count(value):
+    words = "of the and that this is in it for with " * 4
+    page = f'<body><div class="sidebar"><div class="comments" data-x="{value}">{words}1</div>{words}2</div><p>{words}3</p></body>'
+    assert html_blocks.extract(page) == f"{words}3"
+    assert html_blocks.extract(f'<p data-x="{value}">{words}4</p>') == f"{words}4"
+    assert html_blocks.extract(f'<div data-x="{value}">{words}5</div>') == f"{words}5"
+    many = " ".join(f"a{k}={k}" for k in range(4000))
+    assert html_blocks.extract(f'<body><div class="sidebar"><div {many} class=comments>{words}6</div>{words}7</div><p>{words}8</p></body>') == f"{words}8"
+
+
+def test_quotes_that_arent_closed():
+    words = "of the and that this is in it for with " * 4
+    assert html_blocks.extract(f"<p data-x=it's>{words}1</p>{'x ' * 4000}<p>it's {words}2</p>").startswith(f"{words}1\n")
+    assert html_blocks.extract(f"<div class=sidebar><div title='x>{words}1</div>{words}2</div><p>{words}3</p>") == f"{words}3"
+    begin = time.perf_counter()
+    for piece in ('<a x="<a" ', "<a x='<a\" ", '<a "', "<a ='", "<a x=", "<a <"):
+        html_blocks.extract(piece * 40_000 + "<")
+    assert time.perf_counter() - begin < 20
+
+
 def test_pages_in_a_table(spark):
     long = "<article>" + f"<p>{PROSE}</p>" * 5000 + "</article>"
     rows = [(1, "u", f"<article><p>{PROSE}</p></article>"), (2, None, None), (None, "v", ""), (3, "w", long), (3, "w", long)]
