@@ -17,7 +17,8 @@ Executors write with pyarrow's file systems into the shared folder, under a
 temporary name that is renamed when complete; a task that runs again writes the
 same bytes under the same name. Spark's binaryFile source reads them back.
 
-Row rules: null text is empty (only the end id). Null doc_ids come first.
+Row rules: ids are those of the tokenizer's encode(text, add_special_tokens=False),
+so an added token's content in a text is that token. Null text is empty (only the end id). Null doc_ids come first.
 Repeated ids are ordered by their text's hash; each row is returned. An empty
 table makes no file and returns no rows.
 """
@@ -25,6 +26,7 @@ table makes no file and returns no rows.
 from __future__ import annotations
 
 import os
+import re
 import struct
 import uuid
 import zlib
@@ -148,14 +150,15 @@ _CLASS[[9, 10, 11, 12, 13, 32]] = _SPACE
 _CLASS[65:91] = _CLASS[97:123] = _LETTER
 
 
-def units(s: words.Slice) -> tuple[np.ndarray, np.ndarray]:
+def units(s: words.Slice, marks: tuple[np.ndarray, np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Starts and ends of parts of the texts that are encoded independently, in order.
 
     The tokenizer drops white space and lower-cases, and no token goes across
     white space or from letters to anything else, but for an apostrophe's. So a
     part is a run of letters (ASCII, or two bytes of Latin-1) or of other
     characters. A run between white space that holds an apostrophe or a character
-    beyond Latin-1's letters is one part.
+    beyond Latin-1's letters is one part. Each of marks, starts and ends of added
+    tokens in order, is a part of its own, and what is beside it another.
     """
     data = s.data
     kind = _CLASS[data]
@@ -174,6 +177,11 @@ def units(s: words.Slice) -> tuple[np.ndarray, np.ndarray]:
     edge = np.zeros(len(data) + 1, dtype=bool)
     edge[s.offsets] = True
     edge[1:-1] |= kind[1:] != kind[:-1]
+    if marks is not None:
+        for a, b in zip(*(x.tolist() for x in marks)):
+            edge[a + 1 : b] = False
+            edge[[a, b]] = True
+            kind[a] = _OTHER
     cuts = np.flatnonzero(edge)
     starts, ends = cuts[:-1], cuts[1:]
     used = kind[starts] != _SPACE if len(starts) else np.zeros(0, dtype=bool)
@@ -186,15 +194,26 @@ class Encoder:
     The table is keyed by a part's 64-bit hash and checked by a second one; each
     part has two places, and what finds both taken is encoded again when it next
     occurs. Its size is fixed: TABLE places, and IDS ids.
+
+    With added, the tokenizer's added tokens are found in the texts, as its own
+    encode does unless told otherwise. They are matched in the text as it stands, so
+    they bypass the table, which knows no case. Without, they are text like any other.
     """
 
     TABLE, IDS = 1 << 21, 8_000_000
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, added: bool = False):
         from tokenizers import Tokenizer
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # tasks are the parallel unit
         self.tokenizer = Tokenizer.from_file(path)
+        tokens = self.tokenizer.get_added_tokens_decoder() if added else {}
+        if any(t.single_word or t.lstrip or t.rstrip or t.normalized for t in tokens.values()):
+            raise ValueError("added tokens that don't stand for their exact content")
+        self.added = {t.content.encode(): k for k, t in tokens.items() if t.content}
+        # The longest of those that begin at a place.
+        self.find = re.compile(b"|".join(map(re.escape, sorted(self.added, key=len, reverse=True))))
+        # What is left between them is encoded part by part, where none is to be found.
         self.tokenizer.encode_special_tokens = True
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
         self._clear()
@@ -207,6 +226,15 @@ class Encoder:
         self.ids = np.zeros(1 << 16, dtype=f"<u{self.width}")
         self.used = 0
 
+    def _marks(self, s: words.Slice) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Starts, ends and ids of added tokens, in order; none goes across two texts."""
+        raw = s.data.tobytes()
+        found = []
+        if any(x in raw for x in self.added):
+            for a, b in zip(s.offsets[:-1].tolist(), s.offsets[1:].tolist()):
+                found += [(m.start(), m.end(), self.added[m[0]]) for m in self.find.finditer(raw, a, b)]
+        return tuple(np.array(found, dtype=np.int64).reshape(-1, 3).T)
+
     def _encode(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> list[np.ndarray]:
         raw = data.tobytes()
         parts = [raw[a:b].decode() for a, b in zip(starts.tolist(), ends.tolist())]
@@ -216,9 +244,13 @@ class Encoder:
     def __call__(self, data: np.ndarray, offsets: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts, end_id after each, and each text's count."""
         s = words.Slice(data, offsets)
-        starts, ends = units(s)
+        mark_starts, mark_ends, mark_ids = self._marks(s)
+        all_starts, all_ends = units(s, (mark_starts, mark_ends))
+        plain = np.ones(len(all_starts), dtype=bool)
+        plain[np.searchsorted(all_starts, mark_starts)] = False
+        starts, ends = all_starts[plain], all_ends[plain]
         keys = s.spans(starts, ends)
-        keys, first, place = np.unique(keys, return_index=True, return_inverse=True)
+        keys, first, inverse = np.unique(keys, return_index=True, return_inverse=True)
         checks = (words.mix(s.spans(starts[first], ends[first]) ^ data[starts[first]].astype(np.uint64), 3) >> np.uint64(32)).astype(np.uint32)
         mask = np.uint64(self.TABLE - 1)
         one, two = (keys & mask).astype(np.int64), (keys >> np.uint64(40) & mask).astype(np.int64)
@@ -233,11 +265,14 @@ class Encoder:
             at[new] = self.used + np.cumsum(size[new]) - size[new]
             flat = np.concatenate([flat, *found])
             self._keep(flat, keys[new], checks[new], at[new], size[new], one[new], two[new])
-        # The end id is a part of its own, after each text's last.
-        count = np.searchsorted(starts, offsets[1:])
+        # The end id is a part of its own, after each text's last; so are added tokens, where they stand.
+        others, which = np.unique(mark_ids, return_inverse=True)
+        place = np.empty(len(all_starts), dtype=np.int64)
+        place[plain], place[~plain] = inverse, len(keys) + 1 + which
+        count = np.searchsorted(all_starts, offsets[1:])
         part = np.insert(place, count, len(keys))
-        at, size = np.append(at, len(flat)), np.append(size, 1)
-        flat = np.append(flat, flat.dtype.type(end_id))
+        at, size = np.append(at, len(flat) + np.arange(1 + len(others))), np.append(size, np.ones(1 + len(others), dtype=np.int64))
+        flat = np.concatenate([flat, np.array([end_id, *others], dtype=flat.dtype)])
         at, size = at[part], size[part]
         total = np.concatenate(([0], np.cumsum(size)))
         ids = flat[np.repeat(at - total[:-1], size) + np.arange(total[-1])]
@@ -265,7 +300,7 @@ _encoders: dict[str, Encoder] = {}
 
 def encoder(path: str) -> Encoder:
     if path not in _encoders:
-        _encoders[path] = Encoder(path)
+        _encoders[path] = Encoder(path, added=True)
     return _encoders[path]
 
 

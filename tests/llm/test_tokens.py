@@ -88,6 +88,31 @@ def test_a_full_table_still_encodes(tokenizer, monkeypatch):
             assert ids.tolist() == tokenizer.encode(x, add_special_tokens=False).ids + [1]
 
 
+ADDED = [
+    "a <|endoftext|> b", "<|endoftext|>", "x<|startoftext|>y's<|endoftext|>", "<|EndOfText|> <|ENDOFTEXT|>", "<|endof", "text|>", "", "<|endoftext|>",
+    "漢<|endoftext|>'s", "!!<|endoftext|><|endoftext|>!!", "<|<|endoftext|>|>", "<|endoftext|>\u0301 e<|startoftext|>\u0301", None,
+]
+
+
+def test_added_tokens_equal_the_unmodified_library(spark):
+    from tokenizers import Tokenizer
+
+    plain = Tokenizer.from_file(WORDS)
+    ids = lambda x: plain.encode(x or "", add_special_tokens=False).ids + [1]
+    encode = T.Encoder(WORDS, added=True)
+    assert ids("a <|endoftext|> b") == [320, 49407, 321, 1]
+    for some in (ADDED, ADDED[::-1], texts(6, 2000), ADDED):
+        found = []
+        for _, _, data, offsets in words.slices(pa.array(some)):
+            got, n = encode(data, offsets, 1)
+            found += [x.tolist() for x in np.split(got, np.cumsum(n)[:-1])]
+        assert found == [ids(x) for x in some]
+    df = spark.createDataFrame(list(enumerate(ADDED)), "doc_id long, text string").repartition(3)
+    start = np.cumsum([0] + [len(ids(x)) for x in ADDED]).tolist()
+    want = [(i, start[i], len(ids(x)), zlib.crc32(np.array(ids(x), "<u4").tobytes())) for i, x in enumerate(ADDED)]
+    assert sorted(map(tuple, T.round_trip(df, WORDS).collect())) == want
+
+
 def test_token_files(spark, tokenizer, monkeypatch):
     rows = [(9, "the end"), (None, "nothing"), (-4, "Ééé, Don't"), (3, None), (3, ""), (7, "a b c " * 20_000), (5, "same"), (5, "same")]
     df = spark.createDataFrame([(d, t, 1) for d, t in rows], "doc_id long, text string, name int").repartition(3)
