@@ -48,6 +48,8 @@ _HEADER = struct.Struct("<IIQQQq")  # bytes per id, reserved, documents, ids, nu
 _BLOCK = struct.Struct("<QIIQQ")  # count, low bits, reserved, bytes of the low part, bytes of the high part
 #: One sample for so many values.
 SAMPLE = 256
+#: Documents that are read into one batch.
+ROWS = 10_000
 #: Ids after which a file ends (with the texts that reach it).
 SEGMENT_IDS = 4_000_000
 
@@ -385,13 +387,20 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for name, content in zip(batch.column(0).to_pylist(), batch.column(1)):
             seg = Segment(content.as_buffer().to_pybytes())
-            bounds = seg.bounds.all().astype(np.int64)
-            ids = seg.ids.astype("<u4")
-            crc = [zlib.crc32(ids[a:b]) for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist())]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([name] * seg.docs, pa.string()), pa.array(seg.doc_ids(), pa.int64()), pa.array(bounds[:-1]), pa.array(np.diff(bounds)), pa.array(crc, pa.int64())],
-                names=["name", "doc_id", "start", "n_tokens", "ids_crc32"],
-            )
+            doc_ids = seg.doc_ids()
+            for first in range(0, seg.docs, ROWS):
+                some = range(first, min(first + ROWS, seg.docs))
+                starts, sizes, crc = [], [], []
+                end = seg.bounds.select(first)
+                for i in some:
+                    start, end = end, seg.bounds.select(i + 1)
+                    starts.append(start)
+                    sizes.append(end - start)
+                    crc.append(zlib.crc32(seg.ids[start:end].astype("<u4")))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([name] * len(some), pa.string()), *(pa.array(x, pa.int64()) for x in (doc_ids[some.start : some.stop], starts, sizes, crc))],
+                    names=["name", "doc_id", "start", "n_tokens", "ids_crc32"],
+                )
 
 
 def read(manifest: DataFrame, uri: str) -> DataFrame:

@@ -68,6 +68,21 @@ def test_segments():
         T.Segment(b"something else entirely")
 
 
+def test_rows_come_by_select(monkeypatch):
+    docs = [None, *range(-3, 700)]
+    ids = [np.arange(i % 5 + 1, dtype="<u2") for i in range(len(docs))]
+    data = T.dump_segment(docs, [len(x) for x in ids], [x.tobytes() for x in ids], 2)
+    seen, select, every = [], T.EliasFano.select, T.EliasFano.all
+    monkeypatch.setattr(T.EliasFano, "select", lambda self, i: seen.append(i) or select(self, i))
+    monkeypatch.setattr(T.EliasFano, "all", lambda self: seen.append(self.count) or every(self))
+    monkeypatch.setattr(T, "ROWS", 300)
+    rows = pa.RecordBatch.from_pydict({"name": ["f"], "content": [data]})
+    got = [tuple(r.values()) for b in T._read([rows]) for r in b.to_pylist()]
+    start = np.cumsum([0] + [len(x) for x in ids]).tolist()
+    assert got == [("f", d, s, len(x), zlib.crc32(x.astype("<u4"))) for d, s, x in zip(docs, start, ids)]
+    assert set(range(len(docs) + 1)) <= set(seen) and seen.count(len(docs) + 1) == 0  # no table of the boundaries
+
+
 def test_encoder_equals_the_library(tokenizer):
     encode = T.Encoder(WORDS)
     for some in (texts(1, 3000), texts(1, 300), ["", "", "a"], ["x" * 5000 + " " + "y" * 5000]):
