@@ -14,16 +14,25 @@ from pyspark.sql import functions as F
 
 from glyphmill.session import bounded_batches, importable
 
-#: A side with more rows than this is never broadcast (two longs a row: 16 MB of payload).
-BROADCAST_ROWS = 1_000_000
+#: A side that takes more bytes than this in a table of keys is never broadcast.
+BROADCAST_BYTES = 32 << 20
+#: Edges of one node that meet in a task; those of a node with more are dealt out.
+HOT = 500
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a local one where it is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir.
+
+    Where it is unset, a session of one machine (tests) gets a temporary one; on a cluster that is an error,
+    since each executor would write to its own disk.
+    """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         found = spark.sparkContext.getCheckpointDir()
     if not found:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         found = "file://" + tempfile.mkdtemp(prefix="glyphmill-")
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
@@ -45,8 +54,11 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
 
 
 def sized_broadcast(df: DataFrame, rows: int) -> DataFrame:
-    """Marks df for broadcast if its counted rows stay under the bound; otherwise Spark shuffles."""
-    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
+    """Marks df (columns of fixed or small size) for broadcast if its counted rows stay under the bound; otherwise Spark shuffles.
+
+    A row takes its key and its value with 16 bytes a column at most, and 24 bytes of the table that holds it.
+    """
+    return F.broadcast(df) if rows * (24 + 32 * len(df.columns)) <= BROADCAST_BYTES else df
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -98,15 +110,28 @@ def _is_star(edges: DataFrame) -> bool:
     return edges.select(F.col("v").alias("u")).join(edges.select("u"), "u", "left_semi").limit(1).count() == 0
 
 
+def _with_least(edges: DataFrame, least: DataFrame) -> DataFrame:
+    """edges (u, v) with m of least (u, m, c), where c counts the edges of u: those of a hot u meet m in several tasks."""
+    many = least.where(F.col("c") > HOT).select("u", F.ceil(F.col("c") / HOT).cast("int").alias("parts"))
+    count = many.count()
+    if not count:
+        return edges.join(least.select("u", "m"), "u")
+    # At most (edges / HOT) rows.
+    many = sized_broadcast(many, count)
+    parts = F.coalesce("parts", F.lit(1))
+    dealt = edges.join(many, "u", "left").select("u", "v", F.pmod(F.xxhash64("v"), parts).cast("int").alias("part"))
+    each = least.join(many, "u", "left").select("u", "m", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"))
+    return dealt.join(each, ["u", "part"]).select("u", "v", "m")
+
+
 def components(edges: DataFrame, a: str, b: str) -> DataFrame:
     """(node, comp): the smallest node reachable, for each node of an edge; other nodes are their own.
 
     Alternating large-star and small-star contraction. Neighbour lists are never
     gathered: each star is a grouped minimum, which combines before the shuffle,
-    and a join that adaptive execution can split at hot nodes. Each round is
-    written to the shared folder.
+    and a join in which the edges of a node with more than HOT are dealt to
+    several tasks. Each round is written to the shared folder.
     """
-    spark = edges.sparkSession
     e = (
         edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v"))
         .where("u > v")
@@ -115,11 +140,12 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
     e = materialize(e, "edges")
     while not _is_star(e):
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        least = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("c"))
+        least = materialize(least.select("u", F.least("u", "m").alias("m"), "c"), "least")
+        large = _with_least(both.where("v > u"), least).select(F.col("v").alias("u"), F.col("m").alias("v"))
         large = materialize(large.where("u > v").distinct(), "large")
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        least = materialize(large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("c")), "least")
+        small = _with_least(large, least).where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         small = small.unionByName(least.select("u", F.col("m").alias("v"))).distinct()
         e = materialize(small, "small")
     nodes = e.select(F.col("u").alias("node"), F.col("v").alias("comp"))

@@ -22,7 +22,10 @@
 Row rules: a null or blank text has an empty set, is linked with nothing and is
 its own component. Null doc_ids are ignored by the component's minimum; a
 component of only null ids has a null component_id and its rows are kept.
-Repeated rows each get their row. Other columns are not read.
+Repeated rows each get their row. Other columns are not read. A class's set is
+read again from one of its rows, told by id and text hash, so that null or
+repeated ids cost no more than others. Sets are compared by their shingles'
+64-bit hashes, classes by 128 bits: different ones meet by chance alone.
 """
 
 from __future__ import annotations
@@ -136,10 +139,10 @@ def _sketches(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Re
             flat = pa.array(keys.view(np.int64).ravel())
             at = pa.array(np.arange(q - p + 1, dtype=np.int32) * n_bands)
             yield pa.RecordBatch.from_arrays(
-                [ids.slice(p, q - p), pa.array(fingerprints(sets, sizes), pa.binary()), pa.array(sizes)]
+                [ids.slice(p, q - p), batch.column(2).slice(p, q - p), pa.array(fingerprints(sets, sizes), pa.binary()), pa.array(sizes)]
                 + [pa.array(low[:, k].view(np.int64)) for k in range(longs)]
                 + [pa.ListArray.from_arrays(at, flat)],
-                names=["doc_id", "cls", "n", *(f"s{k}" for k in range(longs)), "bands"],
+                names=["doc_id", "h", "cls", "n", *(f"s{k}" for k in range(longs)), "bands"],
             )
 
 
@@ -148,11 +151,11 @@ def _longs(percent: int) -> list[str]:
 
 
 def sketch(docs: DataFrame, percent: int) -> DataFrame:
-    """doc_id, class of the shingle set, its size, packed low bits s0.., and band keys of every row."""
+    """doc_id, hash of the text, class of the shingle set, its size, packed low bits s0.., and band keys of every row."""
     small_batches(docs.sparkSession)
     cols = "".join(f", {s} long" for s in _longs(percent))
-    return docs.select("doc_id", "text").mapInArrow(
-        partial(_sketches, percent=percent), f"doc_id long, cls binary, n long{cols}, bands array<long>"
+    return docs.select("doc_id", "text", F.xxhash64("text")).mapInArrow(
+        partial(_sketches, percent=percent), f"doc_id long, h long, cls binary, n long{cols}, bands array<long>"
     )
 
 
@@ -183,7 +186,13 @@ def _possible(left: str, right: str, percent: int) -> Column:
 
 @_trim
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    done: set[int] = set()  # classes read by this task
     for batch in batches:
+        new = []
+        for r in batch.column(0).to_pylist():
+            new.append(r not in done)
+            done.add(r)
+        batch = batch.filter(pa.array(new, pa.bool_()))
         for p, q, data, offsets in words.slices(batch.column(2)):
             sets, sizes = distinct_shingles(data, offsets)
             same = np.array([x == y for x, y in zip(fingerprints(sets, sizes), batch.column(1).slice(p, q - p).to_pylist())])
@@ -194,11 +203,15 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _read_sets(docs: DataFrame, need: DataFrame) -> DataFrame:
-    """(rid, items) of needed classes (rid, cls, need_id: a doc_id of the class), from the texts."""
-    need = sized_broadcast(need, need.count())
-    texts = docs.select("doc_id", "text").join(need, F.col("doc_id").eqNullSafe(F.col("need_id")))
-    sets = texts.select("rid", "cls", "text").mapInArrow(_sets, "rid long, items array<long>")
-    return materialize(sets, "sets")
+    """(rid, items) of needed classes (rid, cls, need_id, need_h: id and text hash of a row of the class), from the texts."""
+    count = need.count()
+    texts = docs.select("doc_id", "text").join(
+        sized_broadcast(need, count), F.col("doc_id").eqNullSafe(F.col("need_id")) & (F.xxhash64("text") == F.col("need_h"))
+    )
+    sets = materialize(texts.select("rid", "cls", "text").mapInArrow(_sets, "rid long, items array<long>"), "sets")
+    if sets.count() > count:  # a repeated row was read by several tasks
+        sets = materialize(sets.groupBy("rid").agg(F.first("items").alias("items")), "sets_once")
+    return sets
 
 
 class _Confirm:
@@ -210,7 +223,7 @@ class _Confirm:
     def __call__(self, pairs: DataFrame) -> DataFrame | None:
         """The linked of these (a, b); None if there are no pairs at all."""
         ids = pairs.select(F.col("a").alias("rid")).unionByName(pairs.select(F.col("b").alias("rid"))).distinct()
-        need = ids.join(self.reps, "rid").select("rid", "cls", F.col("doc_id").alias("need_id"))
+        need = ids.join(self.reps, "rid").select("rid", "cls", "need_id", "need_h")
         need = materialize(need, "need")
         if not need.limit(1).count():
             return None
@@ -231,9 +244,11 @@ def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
     s = _longs(percent)
     rows = materialize(sketch(docs, percent), "sketch")
     reps = rows.where("n > 0").groupBy("cls").agg(
-        F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"), *(F.first(c).alias(c) for c in ["n", *s, "bands"])
-    )
-    reps = materialize(reps.withColumn("rid", F.monotonically_increasing_id()), "classes")
+        F.min("doc_id").alias("doc_id"), F.max(F.struct("doc_id", "h")).alias("row"), F.count("*").alias("copies"),
+        *(F.first(c).alias(c) for c in ["n", *s, "bands"]),
+    )
+    row = {"need_id": F.col("row.doc_id"), "need_h": F.col("row.h"), "rid": F.monotonically_increasing_id()}
+    reps = materialize(reps.withColumns(row).drop("row"), "classes")
     sig = reps.select("rid", "n", *s)
     confirm = _Confirm(docs, reps, percent)
 
@@ -378,9 +393,9 @@ def _remaining(
         return None
 
     families = components(touching, "a", "b").select(F.col("node").alias("comp"), F.col("comp").alias("family"))
-    need = own.select("rid", "comp", "n").join(families, "comp").join(reps.select("rid", "cls", "doc_id"), "rid")
+    need = own.select("rid", "comp", "n").join(families, "comp").join(reps.select("rid", "cls", "need_id", "need_h"), "rid")
     need = materialize(need.withColumn("grade", F.floor(F.log("n") / math.log(100 / percent)).cast("int")), "families")
-    sets = _read_sets(docs, need.select("rid", "cls", F.col("doc_id").alias("need_id")))
+    sets = _read_sets(docs, need.select("rid", "cls", "need_id", "need_h"))
     # A family of few elements is one block; else it has blocks by grade of size, and only next grades can be linked.
     sizes = need.groupBy("family", "grade").agg(F.count("*").alias("c"), F.sum("n").alias("t"))
     blocks = F.greatest(F.ceil(F.col("c") / SETS), F.ceil(F.col("t") / ELEMENTS)).cast("int")
@@ -418,18 +433,20 @@ def one_of_each(docs: DataFrame, percent: int = 80) -> DataFrame:
     """
     found = near_duplicates(docs, percent).select("doc_id", "kept", "shingle_class")
     found = materialize(found, "groups")
-    ids = found.groupBy("doc_id").agg(F.count("*").alias("times"), F.max("kept").alias("any"))
-    ids = materialize(ids.where("any"), "kept_ids")
-    once = ids.where("times = 1 AND doc_id IS NOT NULL").select("doc_id")
-    once = sized_broadcast(once, once.count())
-    out = docs.join(once, docs["doc_id"] == once["doc_id"], "left_semi")
-    again = ids.where("times > 1 OR doc_id IS NULL").select("doc_id")
-    if not again.limit(1).count():
+    ids = found.groupBy(F.col("doc_id").alias("id")).agg(F.count("*").alias("times"), F.max("kept").alias("any"))
+    # Ids whose row doesn't simply stay: far fewer than those whose does.
+    other = materialize(ids.where("NOT any OR times > 1 OR id IS NULL").select("id", "any"), "other_ids")
+    drop = sized_broadcast(other.select("id"), other.count())
+    out = docs.join(drop, docs["doc_id"].eqNullSafe(drop["id"]), "left_anti")
+    again = other.where("any").select("id")
+    several = again.count()
+    if not several:
         return out
+    again = sized_broadcast(again, several)
     key = f"_{uuid.uuid4().hex}"  # no column of docs has this name
-    keep = found.where("kept").join(again.select(F.col("doc_id").alias("id")), F.col("doc_id").eqNullSafe(F.col("id")), "left_semi")
+    keep = found.where("kept").join(again, F.col("doc_id").eqNullSafe(F.col("id")), "left_semi")
     keep = keep.select(F.col("doc_id").alias("id"), F.col("shingle_class").alias("cls")).distinct()
-    rest = docs.join(again, docs["doc_id"].eqNullSafe(again["doc_id"]), "left_semi")
+    rest = docs.join(again, docs["doc_id"].eqNullSafe(again["id"]), "left_semi")
     rest = rest.mapInArrow(
         partial(_classified, text=docs.columns.index("text"), name=key), StructType([*docs.schema.fields, StructField(key, StringType())])
     )

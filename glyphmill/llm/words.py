@@ -2,9 +2,10 @@
 
 A word is a maximal run of characters other than space and the control
 characters 0x09 to 0x0D. All of these are single bytes in UTF-8, so words are
-found in the bytes. Word hashes come from one running sum of byte values times
-powers of an odd number modulo 2^64: the sum over a word, divided by the power
-at its start, doesn't depend on the place.
+found in the bytes. A span of bytes is hashed in blocks of eight: each block is
+mixed, mixed again with its number, and the sum is mixed with the length. Spans
+of up to eight bytes and equal length never meet; others meet by chance alone,
+whatever their pattern. A seed gives an independent second hash.
 """
 
 from __future__ import annotations
@@ -18,7 +19,6 @@ import pyarrow as pa
 SLICE = 1 << 19
 _ODD = 0x9E3779B97F4A7C15
 _MASK = (1 << 64) - 1
-_powers: dict[str, np.ndarray] = {}
 
 
 def mix(x: np.ndarray, salt: int = 0) -> np.ndarray:
@@ -29,21 +29,12 @@ def mix(x: np.ndarray, salt: int = 0) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _power(n: int, inverse: bool) -> np.ndarray:
-    key = "down" if inverse else "up"
-    if key not in _powers or len(_powers[key]) < n:
-        base = pow(_ODD, -1, 1 << 64) if inverse else _ODD
-        steps = np.full(max(n, SLICE + 1), base, dtype=np.uint64)
-        steps[0] = 1
-        _powers[key] = np.multiply.accumulate(steps)
-    return _powers[key][:n]
-
-
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
-_VALUES = mix(np.arange(1, 257, dtype=np.uint64), 0x1234567)
-_LOWER = _VALUES.copy()
-_LOWER[65:91] = _VALUES[97:123]
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+#: Of a block of eight bytes, the first so many.
+_FIRST = np.array([(1 << 8 * k) - 1 for k in range(9)], dtype=np.uint64)
 
 
 class Slice:
@@ -64,19 +55,30 @@ class Slice:
         self.word_offsets = np.searchsorted(self.starts, offsets)
         self.counts = np.diff(self.word_offsets)
         self.doc_of_word = np.repeat(np.arange(self.docs), self.counts)
-        self._sums: dict[bool, np.ndarray] = {}
+        self._views: dict[bool, np.ndarray] = {}
 
-    def sums(self, lower: bool) -> np.ndarray:
-        if lower not in self._sums:
-            out = np.zeros(len(self.data) + 1, dtype=np.uint64)
-            np.cumsum((_LOWER if lower else _VALUES)[self.data] * _power(len(self.data), False), out=out[1:])
-            self._sums[lower] = out
-        return self._sums[lower]
+    def _eights(self, lower: bool) -> np.ndarray:
+        """At each byte the eight bytes from there on, as one number: a view, not a copy for each."""
+        if lower not in self._views:
+            padded = np.zeros(len(self.data) + 9, dtype=np.uint8)
+            padded[: len(self.data)] = _LOWER[self.data] if lower else self.data
+            self._views[lower] = np.ndarray(len(self.data) + 1, "<u8", padded, 0, (1,))
+        return self._views[lower]
 
-    def spans(self, starts: np.ndarray, ends: np.ndarray, lower: bool = True) -> np.ndarray:
+    def spans(self, starts: np.ndarray, ends: np.ndarray, lower: bool = True, seed: int = 0) -> np.ndarray:
         """Hashes of byte spans; the length counts too."""
-        c = self.sums(lower)
-        return mix((c[ends] - c[starts]) * _power(len(self.data) + 1, True)[starts], 0) + (ends - starts).astype(np.uint64)
+        eights, size = self._eights(lower), ends - starts
+        out = mix(eights[starts] & _FIRST[np.minimum(size, 8)], seed)
+        long = np.flatnonzero(size > 8)
+        if len(long):
+            more = (size[long] - 1) // 8
+            begin = np.cumsum(more) - more
+            number = np.arange(more.sum()) - np.repeat(begin, more) + 1
+            at = np.repeat(starts[long], more) + 8 * number
+            left = np.minimum(np.repeat(ends[long], more) - at, 8)
+            blocks = mix(mix(eights[at] & _FIRST[left], seed) + number.astype(np.uint64) * np.uint64(_ODD))
+            out[long] += np.add.reduceat(blocks, begin)
+        return mix(out + size.astype(np.uint64) * np.uint64(_ODD), seed)
 
     def words(self, lower: bool = True) -> np.ndarray:
         return self.spans(self.starts, self.ends, lower)

@@ -5,8 +5,8 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
+from glyphmill.llm import common, words
 from glyphmill.llm import minhash as M
-from glyphmill.llm import words
 from glyphmill.llm.common import components, groups
 
 SCHEMA = "doc_id long, text string, cls string, rid long, keep_id long"  # clashing extra columns
@@ -105,6 +105,33 @@ def test_odd_rows(spark):
     assert ids == sorted([5, 6, 7, 8, 10, None, 3, 11, 12], key=str)
 
 
+def test_patterned_words_do_not_meet(spark):
+    flip = lambda n, k: "".join("ab"[(i.bit_count() + k) & 1] for i in range(n))
+    rows = [(10 * n + k, " ".join([flip(n, k)] * 7 + [flip(n, k) + str(j) for j in range(3)])) for n in (1024, 4096) for k in (0, 1)]
+    got = M.near_duplicates(table(spark, rows), 85).collect()
+    assert sorted(((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got), key=str) == brute(rows, 85)
+    assert all(r["kept"] for r in got)
+
+
+def test_null_and_repeated_ids_cost_no_more(spark):
+    """Each class is read from one row, so that ids of many rows make no product of rows."""
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(5))
+    rows = []
+    for i in range(700):
+        w = [word() for _ in range(30)]
+        rows += [(None if i % 2 else 7, " ".join(w)), (None if i % 3 else 7, " ".join(w[:-1] + [word()]))]
+    rows += [rows[0]] * 50
+    df = table(spark, rows).repartition(5)
+    got = M.near_duplicates(df, 85).collect()
+    assert sorted(((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got), key=str) == brute(rows, 85)
+    need = df.select("doc_id", "text").distinct().selectExpr("monotonically_increasing_id() AS rid", "doc_id AS need_id", "xxhash64(text) AS need_h", "text")
+    cls = M.sketch(df, 85).select("doc_id", "h", "cls").distinct()
+    need = need.join(cls, need["need_id"].eqNullSafe(cls["doc_id"]) & (need["need_h"] == cls["h"])).select("rid", "cls", "need_id", "need_h")
+    need = common.materialize(need, "need")
+    assert M._read_sets(df, need).count() == need.count() == 1400
+
+
 def test_empty_table(spark):
     assert M.near_duplicates(table(spark, []), 85).count() == 0
     assert M.one_of_each(table(spark, []), 80).count() == 0
@@ -134,7 +161,8 @@ def test_estimate_is_near_the_truth():
     assert (1 - 0.85**M.ROWS) ** M.bands(85) < 1e-6 and (1 - 0.8**M.ROWS) ** M.bands(80) < 1e-6
 
 
-def test_components_of_paths_and_stars(spark):
+def test_components_of_paths_and_stars(spark, monkeypatch):
+    monkeypatch.setattr(common, "HOT", 8)  # the stars below are dealt to several tasks
     edges = [(i, i + 1) for i in range(0, 30)] + [(100, 100 + i) for i in range(1, 40)] + [(7, 7), (200, 139)]
     got = {r["node"]: r["comp"] for r in components(spark.createDataFrame(edges, "a long, b long"), "a", "b").collect()}
     assert got == {i: 0 for i in range(31)} | {i: 100 for i in [*range(100, 140), 200]}
