@@ -8,14 +8,14 @@ structure (a 32-bit position for each 256th value) gives any boundary without a
 table of 64-bit offsets.
 
 Layout, little-endian: magic, then the header of ``_HEADER`` (bytes per id,
-documents, ids, documents with a null id, least doc_id), the boundaries, the
-doc_ids less the least, the ids. An Elias-Fano block is a header (count, low
+documents, ids, documents with a null id, least doc_id, bytes that follow; fewer
+mean that a task was lost while it wrote), the boundaries, the doc_ids less the least, the ids. An Elias-Fano block is a header (count, low
 bits, bytes of the low part, bytes of the high part), low bits, high bits,
 samples.
 
-Executors write with pyarrow's file systems into the shared folder, under a
-temporary name that is renamed when complete; a task that runs again writes the
-same bytes under the same name. Spark's binaryFile source reads them back.
+Executors write with pyarrow's file systems into the shared folder, each attempt
+of a task under names of its own; the manifest, which Spark commits once for each
+task, names the files that count. Spark's binaryFile source reads them back.
 
 Row rules: ids are those of the tokenizer's encode(text, add_special_tokens=False),
 so an added token's content in a text is that token. Null text is empty (only the end id). Null doc_ids come first.
@@ -25,6 +25,7 @@ table makes no file and returns no rows.
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import struct
@@ -44,7 +45,7 @@ from glyphmill.llm import words
 from glyphmill.llm.common import new_path, small_batches, trimmed
 
 MAGIC = b"GMTOKEF1"
-_HEADER = struct.Struct("<IIQQQq")  # bytes per id, reserved, documents, ids, null doc_ids, least doc_id
+_HEADER = struct.Struct("<IIQQQqQ")  # bytes per id, reserved, documents, ids, null doc_ids, least doc_id, bytes after the header
 _BLOCK = struct.Struct("<QIIQQ")  # count, low bits, reserved, bytes of the low part, bytes of the high part
 #: One sample for so many values.
 SAMPLE = 256
@@ -122,9 +123,16 @@ def dump_segment(doc_ids: list[int | None], counts: list[int], ids: list[bytes],
     known = [x for x in doc_ids if x is not None]
     least = min(known, default=0)
     bounds = np.concatenate(([0], np.cumsum(counts, dtype=np.uint64)))
-    head = _HEADER.pack(width, 0, len(doc_ids), int(bounds[-1]), len(doc_ids) - len(known), least)
     ef = EliasFano.build(np.array([x - least for x in known], dtype=np.uint64))
-    return b"".join([MAGIC, head, EliasFano.build(bounds).dump(), ef.dump(), *ids])
+    body = [EliasFano.build(bounds).dump(), ef.dump(), *ids]
+    head = _HEADER.pack(width, 0, len(doc_ids), int(bounds[-1]), len(doc_ids) - len(known), least, sum(map(len, body)))
+    return b"".join([MAGIC, head, *body])
+
+
+def whole(data: bytes) -> bool:
+    """Whether these are all bytes of a file."""
+    begin = len(MAGIC) + _HEADER.size
+    return len(data) >= begin and len(data) == begin + _HEADER.unpack_from(data, len(MAGIC))[-1]
 
 
 class Segment:
@@ -132,9 +140,9 @@ class Segment:
 
     def __init__(self, data: bytes):
         view = memoryview(data)
-        if bytes(view[:8]) != MAGIC:
+        if bytes(view[:8]) != MAGIC or not whole(data):
             raise ValueError("not a token file")
-        width, _, self.docs, self.n_ids, self.nulls, self.least = _HEADER.unpack_from(view, 8)
+        width, _, self.docs, self.n_ids, self.nulls, self.least, _ = _HEADER.unpack_from(view, 8)
         self.bounds, at = EliasFano.load(view, 8 + _HEADER.size)
         self.names, at = EliasFano.load(view, at)
         self.ids = np.frombuffer(view, f"<u{width}", self.n_ids, at)
@@ -190,12 +198,40 @@ def units(s: words.Slice, marks: tuple[np.ndarray, np.ndarray] | None = None) ->
     return starts[used], ends[used]
 
 
+# The steps before the merges, and the mark of a word's end, for which ``units`` holds.
+_KNOWN = {
+    "normalizer": {
+        "type": "Sequence",
+        "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}],
+    },
+    "pre_tokenizer": {
+        "type": "Sequence",
+        "pretokenizers": [
+            {
+                "type": "Split",
+                "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"},
+                "behavior": "Removed",
+                "invert": True,
+            },
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+    "post_processor": None,
+}
+
+
+#: Seed of the second hash of a part.
+_SECOND = 0x5EC0D
+
+
 class Encoder:
     """Whole texts to ids, with a table of the parts seen.
 
-    The table is keyed by a part's 64-bit hash and checked by a second one; each
-    part has two places, and what finds both taken is encoded again when it next
-    occurs. Its size is fixed: TABLE places, and IDS ids.
+    The table is keyed by a part's 64-bit hash and checked by a second, independent
+    one, within a call too; each part has two places, and what finds both taken is
+    encoded again when it next occurs. Its size is fixed: TABLE places, and IDS ids.
+    A tokenizer whose description isn't the one that ``units`` is made for has
+    whole texts as parts, and no table.
 
     With added, the tokenizer's added tokens are found in the texts, as its own
     encode does unless told otherwise. They are matched in the text as it stands, so
@@ -209,9 +245,10 @@ class Encoder:
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # tasks are the parallel unit
         self.tokenizer = Tokenizer.from_file(path)
+        about = json.loads(self.tokenizer.to_str())
+        self.cuts = all(about.get(k) == v for k, v in _KNOWN.items())
         tokens = self.tokenizer.get_added_tokens_decoder() if added else {}
-        if any(t.single_word or t.lstrip or t.rstrip or t.normalized for t in tokens.values()):
-            raise ValueError("added tokens that don't stand for their exact content")
+        self.cuts &= not any(t.single_word or t.lstrip or t.rstrip or t.normalized for t in tokens.values())
         self.added = {t.content.encode(): k for k, t in tokens.items() if t.content}
         # The longest of those that begin at a place.
         self.find = re.compile(b"|".join(map(re.escape, sorted(self.added, key=len, reverse=True))))
@@ -222,7 +259,7 @@ class Encoder:
 
     def _clear(self) -> None:
         self.keys = np.zeros(self.TABLE, dtype=np.uint64)
-        self.checks = np.zeros(self.TABLE, dtype=np.uint32)
+        self.checks = np.zeros(self.TABLE, dtype=np.uint64)
         self.at = np.zeros(self.TABLE, dtype=np.uint32)
         self.size = np.zeros(self.TABLE, dtype=np.uint32)
         self.ids = np.zeros(1 << 16, dtype=f"<u{self.width}")
@@ -245,47 +282,67 @@ class Encoder:
 
     def __call__(self, data: np.ndarray, offsets: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts, end_id after each, and each text's count."""
+        if not self.cuts:
+            return self._whole(data, offsets, end_id)
         s = words.Slice(data, offsets)
         mark_starts, mark_ends, mark_ids = self._marks(s)
         all_starts, all_ends = units(s, (mark_starts, mark_ends))
         plain = np.ones(len(all_starts), dtype=bool)
         plain[np.searchsorted(all_starts, mark_starts)] = False
         starts, ends = all_starts[plain], all_ends[plain]
-        keys = s.spans(starts, ends)
-        keys, first, inverse = np.unique(keys, return_index=True, return_inverse=True)
-        checks = (words.mix(s.spans(starts[first], ends[first]) ^ data[starts[first]].astype(np.uint64), 3) >> np.uint64(32)).astype(np.uint32)
+        own, own_check = s.spans(starts, ends), s.spans(starts, ends, seed=_SECOND)
+        keys, first, inverse = np.unique(own, return_index=True, return_inverse=True)
+        checks = own_check[first]
+        if (checks[inverse] != own_check).any():  # two parts of one key: those that aren't the first go by both
+            _, first, inverse = np.unique(np.stack([own, own_check], axis=1), axis=0, return_index=True, return_inverse=True)
+            keys, checks, inverse = own[first], own_check[first], inverse.ravel()
         mask = np.uint64(self.TABLE - 1)
         one, two = (keys & mask).astype(np.int64), (keys >> np.uint64(40) & mask).astype(np.int64)
         slot = np.where((self.keys[one] == keys) & (self.checks[one] == checks), one, two)
         known = (self.keys[slot] == keys) & (self.checks[slot] == checks) & (self.size[slot] > 0)
         at, size = self.at[slot].astype(np.int64), self.size[slot].astype(np.int64)
         new = np.flatnonzero(~known)
-        flat = self.ids[: self.used]
-        if len(new):
-            found = self._encode(data, starts[first[new]], ends[first[new]])
-            size[new] = [len(x) for x in found]
-            at[new] = self.used + np.cumsum(size[new]) - size[new]
-            flat = np.concatenate([flat, *found])
-            self._keep(flat, keys[new], checks[new], at[new], size[new], one[new], two[new])
         # The end id is a part of its own, after each text's last; so are added tokens, where they stand.
         others, which = np.unique(mark_ids, return_inverse=True)
+        found = self._encode(data, starts[first[new]], ends[first[new]]) if len(new) else []
+        size[new] = [len(x) for x in found]
+        end = self.used + int(size[new].sum())
+        at[new] = self.used + np.cumsum(size[new]) - size[new]
+        self._room(end + 1 + len(others))
+        if found:
+            np.concatenate(found, out=self.ids[self.used : end])
+        self.ids[end : end + 1 + len(others)] = [end_id, *others]
         place = np.empty(len(all_starts), dtype=np.int64)
         place[plain], place[~plain] = inverse, len(keys) + 1 + which
         count = np.searchsorted(all_starts, offsets[1:])
         part = np.insert(place, count, len(keys))
-        at, size = np.append(at, len(flat) + np.arange(1 + len(others))), np.append(size, np.ones(1 + len(others), dtype=np.int64))
-        flat = np.concatenate([flat, np.array([end_id, *others], dtype=flat.dtype)])
-        at, size = at[part], size[part]
-        total = np.concatenate(([0], np.cumsum(size)))
-        ids = flat[np.repeat(at - total[:-1], size) + np.arange(total[-1])]
+        every_at, every_size = np.append(at, end + np.arange(1 + len(others))), np.append(size, np.ones(1 + len(others), dtype=np.int64))
+        every_at, every_size = every_at[part], every_size[part]
+        total = np.concatenate(([0], np.cumsum(every_size)))
+        ids = self.ids[np.repeat(every_at - total[:-1], every_size) + np.arange(total[-1])]
         bounds = total[count + np.arange(1, len(count) + 1)]
+        self._keep(end, keys[new], checks[new], at[new], size[new], one[new], two[new])
         return ids, np.diff(bounds, prepend=0)
 
-    def _keep(self, flat, keys, checks, at, size, one, two) -> None:
-        if len(flat) > self.IDS:
+    def _whole(self, data: np.ndarray, offsets: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+        """The same, each text by one call of the library."""
+        raw = data.tobytes()
+        self.tokenizer.encode_special_tokens = not self.added  # added tokens are the library's to find
+        texts = [raw[a:b].decode() for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist())]
+        found = [np.array([*x.ids, end_id], dtype=self.ids.dtype) for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        return np.concatenate(found) if found else self.ids[:0], np.array([len(x) for x in found], dtype=np.int64)
+
+    def _room(self, need: int) -> None:
+        if need > len(self.ids):
+            more = np.zeros(max(need, 2 * len(self.ids)), dtype=self.ids.dtype)
+            more[: self.used] = self.ids[: self.used]
+            self.ids = more
+
+    def _keep(self, end, keys, checks, at, size, one, two) -> None:
+        if end > self.IDS:
             self._clear()
             return
-        self.ids, self.used = flat, len(flat)
+        self.used = end
         for choice in (one, two):
             free = np.flatnonzero((self.size[choice] == 0) & (size > 0))
             _, pick = np.unique(choice[free], return_index=True)
@@ -322,18 +379,16 @@ def _write(batches: Iterable[pa.RecordBatch], uri: str, tokenizer: str, end_id:
     fs.create_dir(folder, recursive=True)
     encode = encoder(tokenizer)
     unpack = zstandard.ZstdDecompressor().decompress
-    part = TaskContext.get().partitionId()
+    part, attempt = TaskContext.get().partitionId(), uuid.uuid4().hex
     docs: list[int | None] = []
     counts: list[int] = []
     ids: list[bytes] = []
     seq = total = 0
 
     def flush() -> pa.RecordBatch:
-        name = f"{part:08d}-{seq:06d}.tok"
-        trial = f"{folder}/_{name}.{uuid.uuid4().hex}"
-        with fs.open_output_stream(trial) as out:
+        name = f"{part:08d}-{seq:06d}-{attempt}.tok"
+        with fs.open_output_stream(f"{folder}/{name}") as out:
             out.write(dump_segment(docs, counts, ids, encode.width))
-        fs.move(trial, f"{folder}/{name}")
         return pa.RecordBatch.from_pydict(
             {"part": [part], "seq": [seq], "name": [name], "n_docs": [len(docs)], "n_ids": [total]}, schema=_MANIFEST
         )
@@ -386,7 +441,10 @@ def write(docs: DataFrame, tokenizer: str, end_id: int, uri: str) -> DataFrame:
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for name, content in zip(batch.column(0).to_pylist(), batch.column(1)):
-            seg = Segment(content.as_buffer().to_pybytes())
+            data = content.as_buffer().to_pybytes()
+            if not whole(data):
+                continue  # left by a lost task; the manifest doesn't name it
+            seg = Segment(data)
             doc_ids = seg.doc_ids()
             for first in range(0, seg.docs, ROWS):
                 some = range(first, min(first + ROWS, seg.docs))

@@ -128,6 +128,60 @@ def test_added_tokens_equal_the_unmodified_library(spark):
     assert sorted(map(tuple, T.round_trip(df, WORDS).collect())) == want
 
 
+def test_patterned_words_are_parts_of_their_own():
+    """Words that a hash by one modulus of 2^64 can't tell apart, and texts in which all keys or checks meet."""
+    from tokenizers import Tokenizer
+
+    plain = Tokenizer.from_file(WORDS)
+    flip = lambda n, k: "".join("ab"[(i.bit_count() + k) & 1] for i in range(n))
+    some = [f"y {flip(n, 0)} {flip(n, 1)}" for n in (1024, 2048, 4096)] + [f"{flip(1024, 1)} {flip(1024, 0)}"]
+    want = [plain.encode(x, add_special_tokens=False).ids + [1] for x in some]
+    data = "".join(some).encode()
+    offsets = np.cumsum([0] + [len(x) for x in some])
+    ids, n = T.Encoder(WORDS)(np.frombuffer(data, np.uint8), offsets, 1)
+    assert [x.tolist() for x in np.split(ids, np.cumsum(n)[:-1])] == want
+
+
+def test_colliding_keys_are_told_apart(tokenizer, monkeypatch):
+    real = words.Slice.spans
+
+    def few(self, starts, ends, lower=True, seed=0):
+        found = real(self, starts, ends, lower, seed)
+        return found if seed else found % np.uint64(3)
+
+    monkeypatch.setattr(words.Slice, "spans", few)
+    encode = T.Encoder(WORDS)
+    for some in (texts(8, 200), texts(9, 200)):
+        for _, _, data, offsets in words.slices(pa.array(some)):
+            ids, n = encode(data, offsets, 1)
+            assert [x.tolist() for x in np.split(ids, np.cumsum(n)[:-1])] == [tokenizer.encode(x, add_special_tokens=False).ids + [1] for x in some]
+
+
+def test_another_tokenizer_gets_whole_texts(tmp_path):
+    from tokenizers import Tokenizer, normalizers
+
+    other = Tokenizer.from_file(WORDS)
+    other.normalizer = normalizers.NFKC()
+    other.save(str(tmp_path / "other.json"))
+    encode, some = T.Encoder(str(tmp_path / "other.json"), added=True), [*texts(7, 200), *filter(None, ADDED)]
+    assert not encode.cuts and T.Encoder(WORDS).cuts
+    for _, _, data, offsets in words.slices(pa.array(some)):
+        ids, n = encode(data, offsets, 1)
+        assert [x.tolist() for x in np.split(ids, np.cumsum(n)[:-1])] == [other.encode(x, add_special_tokens=False).ids + [1] for x in some]
+
+
+def test_files_of_lost_tasks_are_left_out(spark, tokenizer, tmp_path):
+    df = spark.createDataFrame([(i, f"the text {i}") for i in range(50)], "doc_id long, text string").repartition(3)
+    uri = f"file://{tmp_path}/tokens"
+    manifest = T.write(df, WORDS, 1, uri)
+    want = sorted(map(tuple, T.read(manifest, uri).collect()))
+    files = sorted((tmp_path / "tokens" / "files").glob("*.tok"))
+    data = files[0].read_bytes()
+    for name, some in (("00000000-000000-lost.tok", data[:-5]), ("00000000-000000-gone.tok", data[:20]), ("00000001-000000-twice.tok", data), ("0.tok", b"")):
+        (files[0].parent / name).write_bytes(some)
+    assert sorted(map(tuple, T.read(manifest, uri).collect())) == want and len(want) == 50
+
+
 def test_token_files(spark, tokenizer, monkeypatch):
     rows = [(9, "the end"), (None, "nothing"), (-4, "Ééé, Don't"), (3, None), (3, ""), (7, "a b c " * 20_000), (5, "same"), (5, "same")]
     df = spark.createDataFrame([(d, t, 1) for d, t in rows], "doc_id long, text string, name int").repartition(3)
