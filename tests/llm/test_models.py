@@ -40,6 +40,46 @@ def test_neighbours_against_brute_force(spark):
     assert [i for _, i, _ in sorted(found[300])] == [7, *range(301, 310)]
 
 
+def nearest(rows, asks, k):
+    """query_id, rank, vec_id, score by all pairs: an id's nearest vector counts, to any vector of the query's id."""
+    by = {}
+    for i, v in rows:
+        by.setdefault(i, []).append(np.array(v, np.float32).astype(float))
+    out = []
+    for q in filter(asks, by):
+        d = sorted((min(float(np.sqrt(((a - b) ** 2).sum())) for a in by[q] for b in by[i]), i) for i in by if i != q)
+        out += [(q, r + 1, i, s) for r, (s, i) in enumerate(d[:k])]
+    return sorted(out)
+
+
+def test_repeated_rows_and_ids_with_several_vectors(spark):
+    rng = np.random.default_rng(2)
+    x = rng.integers(-3, 4, size=(260, 6)).astype(np.float32)  # whole numbers: many ties
+    x[x.sum(axis=1) == 0, 0] += 1
+    x[~x.any(axis=1), 0] = 1
+    rows = [(i, v.tolist()) for i, v in enumerate(x)]
+    rows += [rows[0]] * 2 + [rows[100]] * 30  # query rows twice and more
+    rows += [(200, x[5].tolist()), (9, x[100].tolist()), (9, (x[9] + 100).tolist())]  # a query and a candidate with several vectors
+    rows += [(7, (x[200] + k / 64).tolist()) for k in range(1, 40)] + [(300 + k, x[11].tolist()) for k in range(40)]  # an id with many near vectors; a hot vector
+    got = ann.neighbours(vectors(spark, rows).repartition(4), F.col("vec_id") % 100 == 0, k=10, shard=80).collect()
+    got = sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in got)
+    want = nearest(rows, lambda i: i % 100 == 0, 10)
+    assert [g[:3] for g in got] == [w[:3] for w in want] and np.allclose([g[3] for g in got], [w[3] for w in want], atol=1e-12)
+
+
+def test_recall_over_full_shards(spark):
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(7000, 32)).astype(np.float32)
+    df = vectors(spark, [(i, v.tolist()) for i, v in enumerate(x)])
+    got = ann.neighbours(df, F.col("vec_id") % 100 == 0, k=10, shard=2048).collect()
+    hit = 0
+    for q in range(0, 7000, 100):
+        d = np.sqrt(((x.astype(float) - x[q].astype(float)) ** 2).sum(axis=1))
+        d[q] = np.inf
+        hit += len({r["vec_id"] for r in got if r["query_id"] == q} & set(np.argsort(d)[:10].tolist()))
+    assert len(got) == 700 and hit >= 0.9 * 700
+
+
 def test_vectors_that_take_no_part(spark):
     rows = [
         (0, [1.0, 0.0]), (1, None), (2, []), (3, [0.0, 0.0]), (4, [float("nan"), 1.0]), (5, [float("inf"), 1.0]), (6, [None, 1.0]), (None, [1.0, 1.0]),
