@@ -5,7 +5,7 @@ last token. A token t that ends at byte i is that token exactly if the pair
 (last token of the prefix before t, t) is one that BPE leaves apart. So the
 table of last tokens is filled from left to right, and the encoding is read off
 from the end. Bytes can be appended with exact results, and after an edit only
-the positions from the edit on are filled anew.
+the positions of its piece from the edit on are filled anew.
 
 ``Vocabulary`` holds the ranks with, for each token, the two tokens it is merged
 from. ``PrefixTable`` is the table of one piece. ``Text`` keeps the pieces of an
@@ -24,14 +24,17 @@ import os
 from collections.abc import Iterator
 from functools import partial
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
 from glyphmill.llm.common import small_batches
 
-#: Entries of a worker's memos before they start anew.
-MEMO, PAIRS = 700_000, 700_000
+#: Bytes that a worker's memos may take before they start anew, as entries and their texts; pairs of tokens known; characters of an entry.
+MEMO, PAIRS, ENTRY = 400_000_000, 700_000, 200
+#: Characters after a piece on which its match may depend, in the public patterns: an apostrophe and two letters.
+REACH = 4
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -153,36 +156,62 @@ class PrefixTable:
 
 
 class Text:
-    """A text whose encoding follows its edits; only pieces that an edit reaches are filled anew."""
+    """A text whose encoding follows its edits; only pieces that an edit reaches are found and filled anew.
 
-    def __init__(self, vocabulary: Vocabulary, pattern: str, text: str = ""):
-        self.vocabulary, self.pattern, self.text = vocabulary, regex.compile(pattern), text
-        self.pieces = {m.span(): PrefixTable(vocabulary, m[0].encode()) for m in self.pattern.finditer(text)}
+    The pattern must match everywhere, whatever stands before the place, and look at most ``reach`` characters
+    beyond a piece's end. So pieces that end farther before an edit stay, and from the first new piece behind
+    the edit that begins where an old one did, the old ones follow.
+    """
+
+    def __init__(self, vocabulary: Vocabulary, pattern: str, text: str = "", reach: int = REACH):
+        self.vocabulary, self.pattern, self.text, self.reach = vocabulary, regex.compile(pattern), text, reach
+        spans = [m.span() for m in self.pattern.finditer(text)]
+        #: Where pieces begin, and the table of each.
+        self.starts = np.array([a for a, _ in spans], dtype=np.int64)
+        self.tables = [PrefixTable(vocabulary, text[a:b].encode()) for a, b in spans]
+        self.searched = len(spans)
 
     def edit(self, start: int, end: int, new: str) -> None:
-        """Replaces text[start:end]. Pieces are found anew; tables of unmoved or shifted equal pieces are kept."""
+        """Replaces text[start:end]."""
         shift = len(new) - (end - start)
-        old, self.text = self.pieces, self.text[:start] + new + self.text[end:]
-        self.pieces = {}
-        for m in self.pattern.finditer(self.text):
+        self.text = self.text[:start] + new + self.text[end:]
+        # The first piece whose end isn't safely before the edit: it begins where the one before ends.
+        first = max(0, int(np.searchsorted(self.starts, start - self.reach, side="right")) - 1)
+        at = int(self.starts[first]) if len(self.starts) else 0
+        last = int(np.searchsorted(self.starts, end))
+        starts, tables = [], []
+        self.searched = 0
+        old = len(self.starts)
+        for m in self.pattern.finditer(self.text, at):
             a, b = m.span()
-            data = m[0].encode()
-            table = old.get((a, b)) if b <= start else old.get((a - shift, b - shift))
-            if table is None or table.data != data:
-                table = next((t for (p, _), t in old.items() if p == a and a <= start < b), None)
-                if table is None:
-                    table = PrefixTable(self.vocabulary, data)
-                else:
-                    keep = len(os.path.commonprefix([table.data, data]))
-                    table = table.copy()  # another piece may share it
-                    table.edit(keep, len(table.data), data[keep:])
-            self.pieces[a, b] = table
+            while last < old and self.starts[last] + shift < a:
+                last += 1
+            if a >= start + len(new) and last < old and self.starts[last] + shift == a:
+                break
+            self.searched += 1
+            starts.append(a)
+            tables.append(self._table(a, m[0].encode(), first, start))
+        else:
+            last = old
+        self.starts = np.concatenate([self.starts[:first], np.array(starts, dtype=np.int64), self.starts[last:] + shift])
+        self.tables[first:last] = tables
+
+    def _table(self, a: int, data: bytes, first: int, start: int) -> PrefixTable:
+        """The table of a piece at a; an old one that began there before the edit is kept up to where they differ."""
+        k = int(np.searchsorted(self.starts, a))
+        if a >= start or k == len(self.starts) or self.starts[k] != a:
+            return PrefixTable(self.vocabulary, data)
+        table = self.tables[k]
+        if table.data != data:
+            keep = len(os.path.commonprefix([table.data, data]))
+            table.edit(keep, len(table.data), data[keep:])
+        return table
 
     def append(self, more: str) -> None:
         self.edit(len(self.text), len(self.text), more)
 
     def ids(self) -> list[int]:
-        return [x for t in self.pieces.values() for x in t.ids()]
+        return [x for t in self.tables for x in t.ids()]
 
 
 class Encoder:
@@ -193,43 +222,56 @@ class Encoder:
         self.find = regex.compile(pattern).findall
         self.pieces: dict[str, tuple[int, str, bytes]] = {}
         self.memo: dict[str, tuple[int, str, bytes]] = {}
+        self.held = 0  # bytes, about, of both
         self.odd = regex.compile(r"\s\s|^\s|\s$")
         # With this pattern a lone blank between other characters always begins a piece.
         self.safe = pattern == _USUAL
 
+    def _hold(self, memo: dict, text: str, known: tuple[int, str, bytes]) -> None:
+        """Keeps an entry; long ones aren't worth their bytes, and full memos start anew."""
+        if len(text) > ENTRY:
+            return
+        self.held += 400 + 4 * len(text) + len(known[1]) + len(known[2])
+        if self.held > MEMO:
+            self.memo.clear()
+            self.pieces.clear()
+            self.held = 0
+        memo[text] = known
+
     def piece(self, text: str) -> tuple[int, str, bytes]:
         known = self.pieces.get(text)
         if known is None:
             ids = PrefixTable(self.vocabulary, text.encode()).ids()
             token = self.vocabulary.bytes
             known = len(ids), " ".join(map(str, ids)), b"".join([token[x] for x in ids])
-            self.pieces[text] = known
+            self._hold(self.pieces, text, known)
         return known
 
     def parts(self, text: str) -> tuple[int, str, bytes]:
         found = [self.piece(x) for x in self.find(text)]
         return sum([x[0] for x in found]), " ".join([x[1] for x in found]), b"".join([x[2] for x in found])
 
+    def _between(self, x: str) -> tuple[int, str, bytes]:
+        """What stands between blanks; mostly letters and at most one stop or comma: two pieces, without a search."""
+        if max(x, default="") >= _BEYOND:
+            return self.parts(x)
+        if (tail := x[-1:]) in (".", ",") and (stem := x[:-1]).lstrip(" ").isalpha():
+            a, b = self.piece(stem), self.piece(tail)
+            return a[0] + b[0], f"{a[1]} {b[1]}", a[2] + b[2]
+        return self.piece(x) if x.lstrip(" ").isalpha() else self.parts(x)
+
     def __call__(self, text: str) -> tuple[int, str, bytes]:
         if not self.safe or self.odd.search(text):
             return self.parts(text)
-        if len(self.memo) > MEMO:
-            self.memo.clear()
-        if len(self.pieces) > MEMO:
-            self.pieces.clear()
-        memo, words = self.memo, text.split(" ")
+        words = text.split(" ")
         words[1:] = [" " + x for x in words[1:]]
+        memo, found = self.memo, []
         for x in words:
-            if x not in memo:
-                # Mostly letters and at most one stop or comma: two pieces, without a search.
-                if max(x, default="") >= _BEYOND:
-                    memo[x] = self.parts(x)
-                elif (tail := x[-1:]) in (".", ",") and (stem := x[:-1]).lstrip(" ").isalpha():
-                    a, b = self.piece(stem), self.piece(tail)
-                    memo[x] = a[0] + b[0], f"{a[1]} {b[1]}", a[2] + b[2]
-                else:
-                    memo[x] = self.piece(x) if x.lstrip(" ").isalpha() else self.parts(x)
-        found = [memo[x] for x in words]
+            known = memo.get(x)
+            if known is None:
+                known = self._between(x)
+                self._hold(memo, x, known)
+            found.append(known)
         return sum([x[0] for x in found]), " ".join([x[1] for x in found if x[0]]), b"".join([x[2] for x in found])
 
 

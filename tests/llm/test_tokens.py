@@ -225,6 +225,38 @@ def test_appends_and_edits(encoding, vocabulary):
         assert table.ids() == B.PrefixTable(vocabulary, b"heLLo world").ids()
 
 
+def test_edits_search_near_their_place_only(encoding, vocabulary):
+    rng = random.Random(9)
+    text = " ".join(rng.choice(PIECES) + rng.choice(["word", "ing", "'"]) for _ in range(4000))
+    t = B.Text(vocabulary, P.PATTERN, text)
+    for _ in range(60):
+        a = rng.randint(0, len(t.text))
+        t.edit(a, min(len(t.text), a + rng.randint(0, 6)), rng.choice(PIECES))
+        assert t.searched < 20
+    assert t.ids() == encoding.encode_ordinary(t.text)
+    for size in (0, 1, 5):
+        t.edit(0, size, "'")
+        t.edit(len(t.text) - size, len(t.text), "re")
+    assert t.ids() == encoding.encode_ordinary(t.text)
+    t.edit(0, len(t.text), "")
+    assert t.ids() == []
+    t.append("'l")
+    t.append("l")
+    assert t.ids() == encoding.encode_ordinary("'ll")
+
+
+def test_memos_are_bounded_in_bytes_on_every_path(encoding, monkeypatch):
+    monkeypatch.setattr(B, "MEMO", 50_000)
+    encode, sizes = B.Encoder(RANKS, P.PATTERN), []
+    for k in range(300):
+        for x in (f"a{k}b  double blank{k}q", f" outer{k}xyz", f"single blank{k}z x{k}", "w" * 3000 + str(k)):
+            ids = encoding.encode_ordinary(x)
+            assert encode(x)[:2] == (len(ids), " ".join(map(str, ids)))
+        sizes.append(len(encode.memo) + len(encode.pieces))
+    assert max(sizes) * 400 <= 50_000 and encode.held <= 50_000
+    assert not any(len(x) > B.ENTRY for x in [*encode.memo, *encode.pieces])
+
+
 def test_encode_documents(spark, encoding):
     rows = [(1, "the cat's é"), (2, None), (2, ""), (None, "x"), (4, "long " * 30_000), (5, "a"), (5, "a")]
     df = spark.createDataFrame([(d, t, 0) for d, t in rows], "doc_id long, text string, n_tokens int")
