@@ -1,51 +1,53 @@
 """Language by compression with per-language zstandard dictionaries.
 
 For each language a raw-content dictionary is made of a bounded sample of
-labelled texts. Of texts, here as there, letters count: they are lower-cased, and
-whatever stands between them becomes one blank. A text is cut into blocks, each
-block is compressed once with each dictionary, and the language whose blocks sum
-to the fewest bytes wins.
+labelled texts. Of texts, here as there, letters count, with the marks that
+follow them: they are lower-cased, and whatever stands between them becomes one
+blank. A text is cut into blocks, each block is compressed once with each
+dictionary, and the language whose blocks sum to the fewest bytes wins.
 Blocks keep the dictionary near however long the text is, and every byte of the
 text is in one. Equal sums go to the language with more distinct texts, then to the
-first by name. If the runner-up needs hardly more bytes, the text is
-rejected; the prediction is still given. Texts of a few words compress to whole
-bytes that can't show a margin, so they aren't rejected for that.
+first by name. If the runner-up needs less than MARGIN more bytes, the text is
+rejected, however short; the prediction is still given.
 
 The sample: at most SAMPLE distinct texts of each language, those with the
-smallest hashes, PIECE characters of each, DICTIONARY bytes in all. Distinct
-texts count once, so a text with very many copies doesn't fill it. Every language
-is learned; where there are more than GROUP, a worker makes the compressors of
-GROUP languages at a time and texts pass all groups in turn.
-
-Row rules: null text, or text without a letter, is ``und`` with score 0 and is
-rejected. Without any labelled text all rows are. A null doc_id is not learned
-from and not held out. Each row is returned. lang, source and doc_id are no
-inputs of a prediction.
+smallest hashes. Their letters are cut into pieces of PIECE bytes from beginning
+to end, and of all pieces those with the smallest hashes make the dictionary,
+DICTIONARY bytes at most. Distinct texts count once, so a text with very many
+copies doesn't fill it. Every language is learned; where there are more than
+GROUP, a worker makes the compressors of GROUP languages at a time and texts pass
+all groups in turn.
+
+Row rules: null text, or text without a letter (digits, fractions and other
+numerals are none), is ``und`` with score 0 and is rejected. Without any labelled
+text all rows are. Where only one language is learned nothing is rejected for its
+margin. A null doc_id is not learned from and not held out. Each row is returned.
+lang, source and doc_id are no inputs of a prediction.
 """
 
 from __future__ import annotations
 
 import math
-import re
 from collections.abc import Iterable, Iterator
 from functools import partial
 
 import pyarrow as pa
+import regex
 import zstandard
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from glyphmill.llm.common import small_batches
 
-#: Bounds of what is learned from each language: texts, characters of each, bytes of the dictionary.
-SAMPLE, PIECE, DICTIONARY = 200, 2000, 200_000
+#: Bounds of what is learned from each language: texts, bytes of a piece of them, bytes of the dictionary.
+SAMPLE, PIECE, DICTIONARY = 200, 1000, 200_000
 #: Languages whose compressors a worker holds together, bytes of letters that pass them in turn.
 GROUP, PASS = 64, 16_000_000
 #: Bytes of a block, level of compression.
 BLOCK, LEVEL = 1024, 6
-#: A text of so many bytes of letters is rejected if the runner-up needs less than this share more.
-MARGIN, TELLING = 0.001, 64
-_LETTERS = re.compile(r"[^\W\d_]+")
+#: A text is rejected if the runner-up needs less than this share more.
+MARGIN = 0.04
+_LETTERS = regex.compile(r"\p{L}[\p{L}\p{M}]*+")
 
 
 def letters(text: str) -> bytes:
@@ -82,10 +84,40 @@ def dictionaries(docs: DataFrame, learn: Column) -> dict[str, bytes]:
     ids = ids.select("doc_id", "h", F.col("lang").alias("of"))
     # At most SAMPLE rows for each language.
     texts = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").where(F.xxhash64("text") == F.col("h"))
-    found: dict[str, dict[int, str]] = {}
-    for r in texts.select("of", "h", F.substring("text", 1, PIECE).alias("piece")).distinct().collect():
-        found.setdefault(r["of"], {})[r["h"]] = r["piece"]
-    return {k: b"".join(letters(found[k][h]) for h in sorted(found[k]))[:DICTIONARY] for k in order if k in found}
+    pieces = texts.select("of", "h", "text").mapInArrow(_pieces, "of string, h long, k int, piece binary")
+    # A row that is repeated counts once; DICTIONARY / PIECE pieces for each language are gathered.
+    by = Window.partitionBy("of").orderBy(F.xxhash64("h", "k"), "h", "k")
+    pieces = pieces.groupBy("of", "h", "k").agg(F.first("piece").alias("piece")).withColumn("r", F.row_number().over(by))
+    found: dict[str, list[tuple[int, int, bytes]]] = {}
+    for r in pieces.where(F.col("r") <= DICTIONARY // PIECE).collect():
+        found.setdefault(r["of"], []).append((r["h"], r["k"], bytes(r["piece"])))
+    return {k: b"".join(piece for _, _, piece in sorted(found[k])) for k in order if k in found}
+
+
+def _cuts(data: bytes) -> Iterator[bytes]:
+    """All of data, cut at blanks into pieces of at most PIECE bytes; a longer word is cut between characters."""
+    at = 0
+    while at < len(data):
+        end = len(data)
+        if end - at > PIECE:
+            end = data.rfind(b" ", at + 1, at + PIECE + 1)
+            if end < 0:
+                end = at + PIECE
+                while data[end] & 0xC0 == 0x80:
+                    end -= 1
+        yield data[at:end]
+        at = end
+
+
+def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for i, text in enumerate(batch.column(2)):
+            parts = list(_cuts(letters(text.as_py())))
+            of, h = (batch.column(k).slice(i, 1).to_pylist() * len(parts) for k in (0, 1))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(of, pa.string()), pa.array(h, pa.int64()), pa.array(range(len(parts)), pa.int32()), pa.array(parts, pa.binary())],
+                names=["of", "h", "k", "piece"],
+            )
 
 
 class Classifier:
@@ -117,7 +149,7 @@ class Classifier:
         best = min(range(len(sizes)), key=sizes.__getitem__)
         rest = sizes[:best] + sizes[best + 1 :]
         margin = (min(rest) - sizes[best]) / sizes[best] if rest else 1.0
-        return self.languages[best], 1 - 0.5 * math.exp(-50 * margin), margin >= MARGIN or len(data) < TELLING
+        return self.languages[best], 1 - 0.5 * math.exp(-50 * margin), margin >= MARGIN
 
     def __call__(self, text: str | None) -> tuple[str, float, bool]:
         """Language, score, whether the margin is wide enough."""

@@ -295,8 +295,41 @@ def test_blocks_cover_the_whole_text():
     text = "alpha beta " * 3000
     assert c(text)[0] == "a" and c("uno dos tres")[0] == "b"
     assert c("alpha beta gamma " * 200 + "uno dos tres " * 2000)[0] == "b"
-    assert math.isclose(c("zzz")[1], 0.5) and c("zzz")[2] and not c("zyx wvu " * 60)[2]
+    assert math.isclose(c("zzz")[1], 0.5) and not c("zzz")[2] and not c("zyx wvu " * 60)[2]
     assert langid.letters("A1b, É") == " a b é ".encode() and langid.letters("12") == b""
+    # Numerals are no letters; marks belong to the letter before them.
+    assert langid.letters("½²③ Ⅷ 五") == " 五 ".encode() and c("½²③")[0] == "und" and not c("½²③")[2]
+    assert langid.letters("हिन्दी, ภาษาไทย\u0301") == " हिन्दी ภาษาไทย\u0301 ".encode() and langid.letters("\u0301") == b""
+
+
+def test_mixed_texts_are_rejected():
+    rows = [r for r in language_rows() if r[0] < 200]
+    raw = {k: b"".join(langid.letters(t) for _, t, lang in rows if lang == k) for k in ("en", "de", "fr")}
+    c = langid.Classifier(raw)
+    texts = {k: [t for i, t, lang in language_rows() if lang == k and i >= 200] for k in raw}
+    alone = [c(t) for k in raw for t in texts[k]]
+    assert np.mean([x[2] for x in alone]) > 0.97
+    mixed = [c(f"{a} {b[: len(a.encode())]}") for a, b in zip(texts["de"], texts["fr"])]
+    assert np.mean([x[1] for x in mixed]) < np.mean([x[1] for x in alone])
+    rng = random.Random(3)
+    other = [" ".join("".join(rng.choice("aeioukpt") for _ in range(6)) for _ in range(60)) for _ in range(20)]
+    assert np.mean([c(t)[2] for t in other]) < 0.3  # a language that wasn't learned
+
+
+def test_pieces_cover_whole_texts(monkeypatch):
+    monkeypatch.setattr(langid, "PIECE", 7)
+    for text in (" a bb ccc dddd ", " " + "é" * 20 + " x ", "", " abcdefghijklmnop qr "):
+        cut = list(langid._cuts(text.encode()))
+        assert b"".join(cut) == text.encode() and all(0 < len(x) <= 7 and x.decode() for x in cut)
+
+
+def test_late_parts_of_texts_are_learned(spark, monkeypatch):
+    monkeypatch.setattr(langid, "SAMPLE", 3)
+    rows = [(i, "mu " * 3000 + "".join(f"{w}{i} " for w in ("kala", "vesi")) + ("tuli maa " * 2500), "fi") for i in range(12)]
+    rows += [(100 + i, "mu " * 3000 + "hus vann " * 2500, "no") for i in range(12)]
+    df = spark.createDataFrame([*rows, (500, "tuli maa tuli maa", None), (501, "hus vann hus vann", None)], "doc_id long, text string, lang string")
+    got = {r["doc_id"]: r["lang_pred"] for r in langid.identify(df).collect()}
+    assert got[500] == "fi" and got[501] == "no"
 
 
 def test_good_prose_is_english_enough():
