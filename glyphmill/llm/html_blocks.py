@@ -6,11 +6,15 @@ styles, comments and markup are no text.
 
 The first pass decides what it can. A block in an element that stands for a
 menu, header, footer, sidebar, notice, advert, form or reader comments, by its
-tag, role or class, is boilerplate; so is a block that consists mostly of links,
-and any block outside the page's article, if it has one. Elsewhere long blocks
-with enough stop words are content, long ones with few are boilerplate. In an
-article, which needs no such proof, blocks that are long are content. Short
-blocks stay open.
+tag, role or class, is boilerplate; so is any block outside the page's article,
+if it has one. Of the others three measures decide: the share of linked
+characters, the share of stop words, and length. Blocks that consist mostly of
+links are boilerplate, and those with a fifth of links and hardly any stop word.
+Long blocks with enough stop words are content. Long ones with few are
+boilerplate where nothing marks the page's article; in an article, which gives
+them some credit, they stay open, as do short blocks. A page without stop words
+at all is in a language that the list doesn't hold: there length and links decide
+alone.
 
 The second pass gives each open block the label of its nearest decided
 neighbours: if they differ, the nearer one's; at equal distance, content. Open
@@ -33,8 +37,10 @@ from pyspark.sql import DataFrame
 
 from glyphmill.llm.common import small_batches
 
-#: Characters from which a block is long, in an article and elsewhere; share of stop words; share of linked characters.
-LONG, LONG_ELSEWHERE, STOP_SHARE, LINK_SHARE = 70, 70, 0.25, 0.5
+#: Characters from which a block is long; shares of linked characters that are boilerplate, and that are without stop words.
+LONG, LINK_SHARE, SOME_LINKS = 70, 0.5, 0.2
+#: Shares of stop words: enough on a page without an article, enough in an article, and what a page in a known language has.
+STOP_SHARE, STOP_SHARE_INSIDE, KNOWN = 0.25, 0.1, 0.03
 
 # Frequent function words of English, German, French and Spanish.
 STOP_WORDS = frozenset(
@@ -87,7 +93,7 @@ _QUOTED, _UNQUOTED = r"""(?:"[^"]*+"|'[^']*+')""", r"""[^\s"'<>][^\s<>]*+"""
 # Every part is possessive and a tag with a quoted value always matches, so no place is read again from each start before it.
 # Such a tag ends at the next tag or the page's end if it has no end of its own; without a quoted value that is text.
 _TOKEN = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<(?P<raw>{_RAW})\b[^>]*(?<!/)>.*?(?:</(?P=raw)\s*>|\Z)"
+    rf"<!--.*?(?:-->|\Z)|<(?P<raw>{_RAW})(?![\w:-])[^>]*(?<!/)>.*?(?:</(?P=raw)\s*>|\Z)"
     r"|<(?P<close>/?)(?P<name>[a-zA-Z][a-zA-Z0-9:-]*+)"
     rf"(?P<attrs>(?:[^<>=]++|=\s*+(?:(?P<quoted>{_QUOTED})|{_UNQUOTED})?+)*+)(?(quoted)(?:>|(?=<)|\Z)|>)"
     r"|</?[a-zA-Z!?][^<>]*(?:>|\Z)",
@@ -203,20 +209,26 @@ def stop_share(text: str) -> float:
 def label(found: list[Block]) -> list[bool]:
     """Whether each block is content."""
     article = any(b.inside and not b.out for b in found)
+    asked = [not b.out and (b.inside or not article) for b in found]
+    shares = [stop_share(b.text) if ask else 0.0 for b, ask in zip(found, asked)]
+    enough = STOP_SHARE_INSIDE if article else STOP_SHARE
+    telling = [(len(b.text), share) for b, ask, share in zip(found, asked, shares) if ask and b.linked <= LINK_SHARE * len(b.text)]
+    if sum([size * share for size, share in telling]) < KNOWN * sum([size for size, _ in telling]):
+        enough = 0.0
     labels = []
-    for b in found:
+    for b, ask, share in zip(found, asked, shares):
         size = len(b.text)
-        if b.out or (article and not b.inside) or b.linked > LINK_SHARE * size:
+        if not ask or b.linked > LINK_SHARE * size or (share < enough and b.linked > SOME_LINKS * size):
             labels.append(_BOILERPLATE)
-        elif article:
-            labels.append(_CONTENT if size >= LONG else _OPEN)
-        elif size < LONG_ELSEWHERE:
-            labels.append(_BOILERPLATE if b.linked else _OPEN)
+        elif size < LONG:
+            labels.append(_BOILERPLATE if b.linked and not article else _OPEN)
+        elif share >= enough:
+            labels.append(_CONTENT)
         else:
-            labels.append(_CONTENT if stop_share(b.text) >= STOP_SHARE else _BOILERPLATE)
+            labels.append(_OPEN if article else _BOILERPLATE)
     if article:
         # What lies outside or is marked decides nothing about the article's own short blocks.
-        own = [k for k, b in enumerate(found) if b.inside and not b.out]
+        own = [k for k, ask in enumerate(asked) if ask]
     else:
         own = list(range(len(found)))
     before, last = {}, None

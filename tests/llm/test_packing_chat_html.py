@@ -1,8 +1,11 @@
+import html.parser
 import itertools
 import os
 import random
+import re
 import time
 
+import pyarrow.parquet as pq
 import pytest
 
 from glyphmill.llm import chat, html_blocks, packing
@@ -123,7 +126,132 @@ def test_main_text(page, text):
     assert html_blocks.extract(page) == text
 
 
-@pytest.mark.parametrize("value", ["x" * 5001, "x" * 300_000, "<p>" * 4000, "a > b </div> " * 1000, "class='sidebar' " * 1000])
+STOPS = "This is what the block of text says, and it is in the page for all of us who read it with care."
+KEYS = "alpha | beta | gamma | delta | epsilon | zeta | eta | theta | iota | kappa | lambda | omicron | sigma"
+LINKS = "<p><a href=x>a list of links to more of the site and to what is new there</a></p>"
+
+
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        # Without an article: density of stop words decides long blocks, and what is short follows them.
+        (f"<div><p>{STOPS}</p><p>{KEYS}</p></div>", STOPS),
+        (f"<div><p>{STOPS}</p><p>near text</p><p>near words</p><p>{KEYS}</p></div>", f"{STOPS}\nnear text"),
+        # In an article long blocks without stop words stay open: neighbours decide, the nearest first, equal ones for content.
+        (f"<article><p>{STOPS}</p><p>{KEYS}</p></article>", f"{STOPS}\n{KEYS}"),
+        (f"<article><p>{STOPS}</p><p>x</p>{LINKS}<p>{KEYS}</p></article>", f"{STOPS}\nx"),
+        (f"<article><p>{STOPS}</p><p>{KEYS}</p>{LINKS}</article>", f"{STOPS}\n{KEYS}"),
+        # Some links are enough where stop words are missing, not where they aren't.
+        (f"<article><p>{STOPS}</p><p>{KEYS} <a>{KEYS[:40]}</a></p><p>{STOPS} <a>{STOPS[:40]}</a></p></article>", f"{STOPS}\n{STOPS} {STOPS[:40].strip()}"),
+        # A language that the list doesn't hold: length and links alone.
+        ("<div><p>" + "lorem ipsum dolor amet " * 5 + "</p><nav>x</nav></div>", ("lorem ipsum dolor amet " * 5).strip()),
+        ("<article><p>" + "lorem ipsum dolor amet " * 5 + f"</p>{LINKS}<p>{KEYS}</p></article>", ("lorem ipsum dolor amet " * 5).strip() + f"\n{KEYS}"),
+        # Elements whose names only begin like those without text.
+        (f"<article><svg-icon></svg-icon><p>{STOPS}</p><video-player x=1>player</video-player><template-x></template-x><p>{KEYS}</p></article>", f"{STOPS}\nplayer\n{KEYS}"),
+        (f"<article><script-x>a</script-x><script>var a;</script><p>{STOPS}</p><svg><path/></svg><svg/><p>end</p></article>", f"a\n{STOPS}\nend"),
+    ],
+)
+def test_stop_words_links_and_length_decide(page, text):
+    assert html_blocks.extract(page) == text
+
+
+class Plain(html.parser.HTMLParser):
+    """A second reading of pages: the elements around each piece of text are looked at anew."""
+
+    def __init__(self, page):
+        super().__init__()
+        self.open, self.found, self.raw, self.link, self.breaks = [], [[]], 0, False, 0
+        self.feed(page)
+        self.close()
+
+    def cut(self):
+        self.found.append([])
+        self.link, self.breaks = False, 0
+
+    def handle_starttag(self, tag, attrs):
+        if self.raw or tag in html_blocks._RAW.split("|"):
+            self.raw += 1
+        elif tag == "br":
+            self.breaks += 1
+            self.cut() if self.breaks > 1 else self.found[-1].append((" ", False, ()))
+        elif tag == "a":
+            self.link = True
+        else:
+            if tag in html_blocks._BLOCK:
+                self.cut()
+            if tag in html_blocks._KEPT:
+                words = {w for k, v in attrs if k in ("class", "id", "role") for w in re.findall("[a-z0-9]+", (v or "").lower())}
+                inside = "article" in self.open_names() or "main" in self.open_names()
+                bad = tag in html_blocks._OUT or (tag == "header" and not inside) or (tag not in "html body article main".split() and words & html_blocks._OUT_WORDS)
+                if bad and tag not in html_blocks._BLOCK:
+                    self.found.append([])
+                self.open.append((tag, bool(bad)))
+
+    def handle_startendtag(self, tag, attrs):
+        if tag == "br":
+            self.handle_starttag(tag, attrs)
+
+    def open_names(self):
+        return [t for t, _ in self.open]
+
+    def handle_endtag(self, tag):
+        if self.raw:
+            self.raw -= 1
+        elif tag == "a":
+            self.link = False
+        else:
+            if tag in html_blocks._BLOCK:
+                self.cut()
+            if tag in self.open_names():
+                while self.open.pop()[0] != tag:
+                    pass
+
+    def handle_data(self, data):
+        if not self.raw:
+            self.breaks = self.breaks if data.isspace() else 0
+            self.found[-1].append((data, self.link, tuple(self.open)))
+
+    def text(self):
+        rows = []
+        for parts in self.found:
+            text = " ".join("".join(x for x, _, _ in parts).split())
+            around = [o for x, _, o in parts if x.strip()]
+            if text and around:
+                names = [t for t, _ in around[0]]
+                linked = sum(len(x) for x, link, _ in parts if link)
+                stops = [w in html_blocks.STOP_WORDS for w in re.findall(r"[^\W_]+", text.lower())]
+                rows.append([text, linked / len(text), sum(stops) / max(1, len(stops)), any(b for _, b in around[0]), "article" in names or "main" in names])
+        article = any(r[4] and not r[3] for r in rows)
+        own = [r for r in rows if not r[3] and (r[4] or not article)]
+        need = 0.1 if article else 0.25
+        if sum(len(r[0]) * r[2] for r in own if r[1] <= 0.5) < 0.03 * sum(len(r[0]) for r in own if r[1] <= 0.5):
+            need = 0
+        first = []
+        for text, linked, share, _, _ in own:
+            good = None
+            if linked > 0.5 or (linked > 0.2 and share < need) or (len(text) < 70 and linked and not article) or (len(text) >= 70 and share < need and not article):
+                good = False
+            elif len(text) >= 70 and share >= need:
+                good = True
+            first.append(good)
+        out = []
+        for k, (row, good) in enumerate(zip(own, first)):
+            if good is None:
+                near = sorted((abs(k - j), not g, g) for j, g in enumerate(first) if g is not None)
+                good = near[0][2] if near else article
+            if good:
+                out.append(row[0])
+        return "\n".join(out)
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="the driver's tables are not here")
+def test_pages_equal_a_second_reading():
+    pages = pq.read_table("/root/testdata/sf0.01/pages.parquet").column("html").to_pylist()
+    pages += [p for p in (f"<div><p>{STOPS}</p>{LINKS}<p>a</p><p>b</p><p>{KEYS}</p></div>", f"<article>{LINKS}<p>a</p><p>b</p><p>c</p><p>{STOPS}</p></article>")]
+    assert [html_blocks.extract(p) for p in pages] == [Plain(p).text() for p in pages]
+
+
+@pytest.mark.parametrize("value", ["x" * 5001, "x" * 1_000_000, "<p>" * 4000, "a > b </div> " * 1000, "class='sidebar' " * 1000])
 def test_long_tags_count(value):
     words = "of the and that this is in it for with " * 4
     page = f'<body><div class="sidebar"><div class="comments" data-x="{value}">{words}1</div>{words}2</div><p>{words}3</p></body>'
