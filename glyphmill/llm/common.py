@@ -110,6 +110,17 @@ def _is_star(edges: DataFrame) -> bool:
     return edges.select(F.col("v").alias("u")).join(edges.select("u"), "u", "left_semi").limit(1).count() == 0
 
 
+def sampled_texts(docs: DataFrame, sample: DataFrame) -> DataFrame:
+    """sample (label_id, ...; of bounded size) with doc_id and text: one text for each id, however often it stands in docs.
+
+    Of different texts of one id that of the smallest hash counts; each partition offers one.
+    """
+    rows = docs.select("doc_id", "text").join(F.broadcast(sample), F.col("doc_id") == F.col("label_id"))
+    others = [c for c in sample.columns if c != "label_id"]
+    rows = rows.groupBy("doc_id", *others).agg(F.min_by("text", F.xxhash64("text")).alias("text"))
+    return rows.select("doc_id", "text", *others)
+
+
 def _with_least(edges: DataFrame, least: DataFrame) -> DataFrame:
     """edges (u, v) with m of least (u, m, c), where c counts the edges of u: those of a hot u meet m in several tasks."""
     many = least.where(F.col("c") > HOT).select("u", F.ceil(F.col("c") / HOT).cast("int").alias("parts"))

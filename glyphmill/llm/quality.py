@@ -8,7 +8,10 @@ rules reject texts that are very short or repeat themselves.
 
 The field is fitted by maximum likelihood to a bounded sample: at most SAMPLE
 texts of each quality in the table labels, those with the smallest hashes, in
-one task. A line's label in training is its text's quality.
+one task. Their lines, from the first to the last, are cut into runs of RUN lines,
+of which at most RUNS of each quality are fitted, those with the smallest hashes.
+A line's label in training is its text's quality; since a text has one, CHAIN runs
+of different texts are strung together, so that the field sees labels change.
 
 Everything that is counted is counted over whole texts. Words are
 ``[^\\x20\\x09-\\x0D]+``, as written. Row rules: null text is empty, has no words
@@ -27,10 +30,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from glyphmill.llm import words
-from glyphmill.llm.common import sample_of_each, small_batches, trimmed
+from glyphmill.llm.common import sample_of_each, sampled_texts, small_batches, trimmed
 
-#: Texts of each quality, lines of each that are fitted, steps and penalty of the fit.
-SAMPLE, LINES, STEPS, PENALTY = 1500, 100, 100, 1.0
+#: Texts of each quality, lines of a run, runs of each quality, runs in a sequence; steps and penalty of the fit.
+SAMPLE, RUN, RUNS, CHAIN, STEPS, PENALTY = 1500, 10, 6000, 4, 100, 1.0
 #: Least words, most percent of repeated words, least share of words in content lines.
 LEAST_WORDS, REPEATED, SHARE = 50, 50, 0.5
 BOILERPLATE, CONTENT = 0, 1
@@ -206,19 +209,33 @@ def fit(sequences: list[tuple[np.ndarray, np.ndarray]]) -> Field:
     return Field(w[: 2 * k].reshape(k, 2), w[2 * k :].reshape(2, 2))
 
 
+def _runs(ids: list[int], good: list[int], column: pa.Array) -> Iterator[tuple[int, int, int, np.ndarray]]:
+    """(quality, hash, id, features) of each run of lines of the texts."""
+    for p, _, data, offsets in words.slices(column):
+        lines = Lines(data, offsets)
+        for i in range(len(offsets) - 1):
+            begin, end = lines.offsets[i : i + 2].tolist()
+            at = np.arange(begin, end, RUN)
+            name = words.mix(np.array([ids[p + i]], dtype=np.int64).view(np.uint64), 1)
+            keys = words.mix(name + np.arange(len(at), dtype=np.uint64), 2).tolist()
+            for key, a in zip(keys, at.tolist()):
+                yield good[p + i], key, ids[p + i], lines.x[a : min(a + RUN, end)].copy()
+
+
 def _train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    found = []
+    found: dict[int, list] = {}
     for batch in batches:
-        ids, good = batch.column(0).to_pylist(), batch.column(2).to_pylist()
-        for p, _, data, offsets in words.slices(batch.column(1)):
-            lines = Lines(data, offsets)
-            for i in range(len(offsets) - 1):
-                x = lines.x[lines.offsets[i] : lines.offsets[i + 1]][:LINES]
-                if len(x):
-                    found.append((ids[p + i], x, np.full(len(x), good[p + i])))
-    if found:
-        found.sort(key=lambda f: f[0])  # the same sums whatever the order of the rows
-        field = fit([(x, y) for _, x, y in found])
+        for quality, *run in _runs(batch.column(0).to_pylist(), batch.column(2).to_pylist(), batch.column(1)):
+            own = found.setdefault(quality, [])
+            own.append((*run[:2], quality, run[2]))
+            if len(own) > 2 * RUNS:
+                own.sort(key=lambda f: f[:2])
+                del own[RUNS:]
+    # By hash: qualities mix, and sums are the same whatever the order of the rows.
+    runs = sorted((r for own in found.values() for r in sorted(own, key=lambda f: f[:2])[:RUNS]), key=lambda f: f[:2])
+    if runs:
+        chains = [runs[i : i + CHAIN] for i in range(0, len(runs), CHAIN)]
+        field = fit([(np.concatenate([x for *_, x in c]), np.concatenate([np.full(len(x), q) for _, _, q, x in c])) for c in chains])
         yield pa.RecordBatch.from_pydict({"w": np.concatenate([field.state.ravel(), field.move.ravel()])})
 
 
@@ -230,9 +247,8 @@ def train(docs: DataFrame, labels: DataFrame) -> Field | None:
     known = labels.select("doc_id", F.col("quality").cast("int").alias("good")).where("doc_id is not null").dropna()
     known = known.groupBy(F.col("doc_id").alias("label_id")).agg(F.min("good").alias("good"))
     sample = sample_of_each(known, "good", {0: SAMPLE, 1: SAMPLE}, "label_id")
-    # At most 2 * SAMPLE rows.
-    rows = docs.select("doc_id", "text").join(F.broadcast(sample), F.col("doc_id") == F.col("label_id"))
-    w = np.array([r["w"] for r in rows.select("doc_id", "text", "good").repartition(1).mapInArrow(_trained, "w double").collect()])
+    rows = sampled_texts(docs, sample).repartition(1)  # at most 2 * SAMPLE rows, in one task
+    w = np.array([r["w"] for r in rows.mapInArrow(_trained, "w double").collect()])
     return Field(w[:-4].reshape(-1, 2), w[-4:].reshape(2, 2)) if len(w) else None
 
 

@@ -12,7 +12,7 @@ FEATURES hashed features are kept, by chi-square over all categories.
 
 Row rules: null text is empty and gets the models' base rate. Rows of labels
 with a null id or category are not learned from; if an id has several, the
-largest value of each category counts. Without labelled rows every probability is
+largest value of each category counts, and of an id with several texts one. Without labelled rows every probability is
 0. Each row of docs is returned; only doc_id and text are read.
 """
 
@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from glyphmill.llm import words
-from glyphmill.llm.common import sample_of_each, small_batches, trimmed
+from glyphmill.llm.common import sample_of_each, sampled_texts, small_batches, trimmed
 
 #: Sampled rows with the last category, features kept, folds, weight of the penalty.
 SAMPLE, FEATURES, FOLDS, PENALTY = 2000, 512, 3, 0.3
@@ -196,9 +196,7 @@ def train(docs: DataFrame, labels: DataFrame, categories: dict[str, str]) -> Cha
     known = known.groupBy("doc_id").agg(*(F.max(f"c{k}").alias(f"c{k}") for k in range(len(names))))
     last = f"c{len(names) - 1}"
     sample = sample_of_each(known, last, {1: SAMPLE, 0: 2 * SAMPLE}, "doc_id").withColumnRenamed("doc_id", "label_id")
-    # At most 3 * SAMPLE rows.
-    rows = docs.select("doc_id", "text").join(F.broadcast(sample), F.col("doc_id") == F.col("label_id")).drop("label_id")
-    rows = rows.repartition(1)  # the bounded sample, in one task
+    rows = sampled_texts(docs, sample).repartition(1)  # at most 3 * SAMPLE rows, in one task
     found = rows.mapInArrow(partial(_trained, count=len(names)), "k int, i int, feature int, w double").collect()
     return Chain(found, names)
 

@@ -10,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from glyphmill.llm import ann, langid, quality, toxicity
+from glyphmill.llm.common import sampled_texts
 
 GOOD = "The text of the day is what we want to have, and it goes on for a while. It is good."
 
@@ -173,6 +174,55 @@ def test_quality_of_a_table(spark):
     assert quality.judge(df.limit(0), labels).count() == 0
 
 
+def prose_and_junk(seed):
+    rng = random.Random(seed)
+    words = "the of and to in is it that was for on are with as his they at be this from have or by one had not but what all were".split()
+    prose = lambda: " ".join(rng.choice(words) for _ in range(rng.randint(8, 16))).capitalize() + "."
+    junk = lambda: " | ".join(rng.choice(words).upper() for _ in range(rng.randint(3, 9)))
+    return rng, prose, junk
+
+
+def test_lines_of_mixed_texts(spark):
+    """Trained on texts of one kind, the field labels the lines of texts of both, short runs too."""
+    rng, prose, junk = prose_and_junk(12)
+    rows = [(i, "\n".join((prose if i % 2 else junk)() for _ in range(rng.randint(6, 25)))) for i in range(80)]
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(80)], "doc_id long, quality int, toxic int")
+    field = quality.train(spark.createDataFrame(rows, "doc_id long, text string"), labels)
+    right, lines, shares = 0, 0, []
+    for _ in range(60):
+        gold, text = [], []
+        for k in range(rng.randint(2, 5)):
+            n = rng.randint(2, 8)
+            gold += [k % 2] * n
+            text += [(prose if k % 2 else junk)() for _ in range(n)]
+        data = "\n".join(text).encode()
+        found = quality.Lines(np.frombuffer(data, np.uint8), np.array([0, len(data)]))
+        label = field.viterbi(found.x)
+        right, lines = right + (label == np.array(gold)).sum(), lines + len(gold)
+        shares.append(found.words[label == 1].sum() / found.words.sum())
+    assert right >= 0.95 * lines and sum(0.1 < s < 0.9 for s in shares) > 30
+
+
+def test_lines_after_the_hundredth_are_learned(spark):
+    """Texts that differ only far behind their beginnings; runs are bounded, texts aren't cut."""
+    rng, prose, junk = prose_and_junk(13)
+    same = [prose() for _ in range(20)]
+    rows = [(i, "\n".join(same * 6 + [(prose if i % 2 else junk)() for _ in range(400)])) for i in range(10)]
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(10)], "doc_id long, quality int, toxic int")
+    field = quality.train(spark.createDataFrame(rows, "doc_id long, text string"), labels)
+    data = "\n".join(junk() for _ in range(30)).encode()
+    assert not field.viterbi(quality.Lines(np.frombuffer(data, np.uint8), np.array([0, len(data)])).x).any()
+
+
+def test_a_repeated_id_is_one_text_in_training(spark):
+    many = spark.range(100_000).selectExpr("IF(id % 2 = 0, 3L, 4L) AS doc_id", "IF(id % 7 = 0, 'other text', 'a text of some words') AS text")
+    sample = spark.createDataFrame([(3, 1, 0), (4, 0, 0), (5, 1, 1)], "label_id long, c0 int, c1 int")
+    got = sampled_texts(many, sample)
+    assert got.columns == ["doc_id", "text", "c0", "c1"] and sorted((r["doc_id"], r["c0"]) for r in got.collect()) == [(3, 1), (4, 0)]
+    labels = spark.createDataFrame([(3, 1, 0), (4, 0, 1)], "doc_id long, quality int, toxic int")
+    assert quality.train(many, labels) is not None and len(toxicity.train(many, labels, toxicity.CATEGORIES).weights) == 2
+
+
 # Toxicity.
 
 
