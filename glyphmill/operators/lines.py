@@ -1,7 +1,8 @@
 """Lines of sources, and places in them.
 
 A line ends after \\n, or after \\r that no \\n follows; offsets and columns count
-bytes from 0. Ids name a source.
+bytes from 0. Each row of a table of texts is a source of its own, whatever its
+ids; tables of bytes, places and line starts tell sources by their ids.
 """
 
 from __future__ import annotations
@@ -11,6 +12,8 @@ from pyspark.sql import functions as F
 
 from glyphmill.functions.columns import view
 
+#: The number of a row, by which sources are told apart where ids may be null or repeated.
+ROW = "_row"
 #: After each line end.
 _BREAK = r"(?<=\n)|(?<=\r)(?!\n)"
 
@@ -29,10 +32,11 @@ def line_end_mask(rows: DataFrame, ids: tuple[str, ...] = ("doc_id",)) -> DataFr
 
 def lines(df: DataFrame, text: str = "text", ids: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """ids, line, start: the line starts of each source, the last of which may be its end."""
-    parts = df.select(*ids, F.posexplode(F.split(view(F.col(text)), _BREAK, -1)).alias("line", "part"))
+    parts = df.select(*ids, F.monotonically_increasing_id().alias(ROW), F.split(view(F.col(text)), _BREAK, -1).alias("parts"))
+    parts = parts.select(*ids, ROW, F.posexplode("parts").alias("line", "part"))
     # Only lengths are sorted, not the lines themselves.
-    sizes = parts.select(*ids, "line", F.length("part").cast("long").alias("size"))
-    before = Window.partitionBy(*ids).orderBy("line").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = parts.select(*ids, ROW, "line", F.length("part").cast("long").alias("size"))
+    before = Window.partitionBy(ROW).orderBy("line").rowsBetween(Window.unboundedPreceding, -1)
     return sizes.select(*ids, "line", F.coalesce(F.sum("size").over(before), F.lit(0).cast("long")).alias("start"))
 
 

@@ -5,15 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from glyphmill.functions.columns import view
 from glyphmill.plans.arrow import plan_pages
 
 
 def page_views(df: DataFrame, text: str = "text", ids: tuple[str, ...] = ("doc_id",), target_bytes: int = 32768) -> DataFrame:
-    """ids, page_id, base, size, bucket, page: the bytes of each page as a view (a character a byte)."""
-    planned = plan_pages(df.withColumn("_source", F.col(text)), text, (*ids, "_source"), target_bytes)
-    piece = F.substring(view(F.col("_source")), F.col("start").cast("int") + 1, F.col("byte_count"))
-    return planned.select(*ids, "page_id", F.col("start").alias("base"), F.col("byte_count").alias("size"), "bucket", piece.alias("page"))
+    """ids, page_id, base, size, bucket, page: the bytes of each page as a view (a character a byte), null in overflow pages."""
+    planned = plan_pages(df, text, ids, target_bytes, views=True)
+    return planned.select(*ids, "page_id", F.col("start").alias("base"), F.col("byte_count").alias("size"), "bucket", "page")
 
 
 def padded(pages: DataFrame) -> DataFrame:
@@ -27,7 +25,10 @@ def bucket_histogram(pages: DataFrame) -> DataFrame:
 
 
 def snapshot(df: DataFrame, text: str = "text", file_id: str = "doc_id", target_bytes: int = 32768) -> DataFrame:
-    """file_id, json, dump of each source: its size, line starts and pages, as JSON and as text."""
+    """file_id, json, dump of each source: its size, line starts and pages, as JSON and as text.
+
+    An id names one source; rows that share one would be shown as one.
+    """
     from glyphmill.operators.lines import lines
 
     starts = lines(df, text, (file_id,)).groupBy(file_id).agg(F.sort_array(F.collect_list("start")).alias("lineStartOffsets"))

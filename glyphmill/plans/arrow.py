@@ -113,9 +113,16 @@ def _token_columns(kernel: Kernel, data: np.ndarray, p: Pages, emit_skip: bool)
     ]
 
 
+def _views(data: np.ndarray, p: Pages) -> pa.Array:
+    """Each page's bytes, a character a byte; null where no bucket holds them."""
+    cut = lambda a, n: data[a : a + n].tobytes().decode("latin-1") if n <= BUCKETS[-1] else None
+    return pa.array([cut(a, n) for a, n in zip(p.bounds[:-1].tolist(), p.size.tolist())], pa.string())
+
+
 def _run(
-    batches: Iterator[pa.RecordBatch], schema: pa.Schema, target: int, artifact: str | None = None, automata: bool = False, emit_skip: bool = False
-) -> Iterator[pa.RecordBatch]:
+    batches: Iterator[pa.RecordBatch], schema: pa.Schema, target: int, artifact: str | None = None, automata: bool = False,
+    emit_skip: bool = False, views: bool = False,
+) -> Iterator[pa.RecordBatch]:
     kernel = _kernel(artifact, automata) if artifact else None
     for batch in batches:
         last = batch.num_columns - 1
@@ -123,6 +130,8 @@ def _run(
             p = paged(data, offsets, target)
             own = pa.array(p.row + first)
             columns = [batch.column(i).take(own) for i in range(last)] + _page_columns(p, target)
+            if views:
+                columns.append(_views(data, p))
             if kernel:
                 columns += _token_columns(kernel, data, p, emit_skip)
             yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, schema)], schema=schema)
@@ -132,12 +141,17 @@ def _schema(df: DataFrame, ids: tuple[str, ...], more: str) -> StructType:
     return StructType([df.schema[c] for c in ids] + StructType.fromDDL(more).fields)
 
 
-def plan_pages(df: DataFrame, text: str = "text", ids: tuple[str, ...] = ("doc_id",), target_bytes: int = 32768) -> DataFrame:
-    """ids and a row for each page of each source: page_id, start, end, byte_count, line_break_count, oversize, bucket."""
+def plan_pages(
+    df: DataFrame, text: str = "text", ids: tuple[str, ...] = ("doc_id",), target_bytes: int = 32768, views: bool = False
+) -> DataFrame:
+    """ids and a row for each page of each source: page_id, start, end, byte_count, line_break_count, oversize, bucket.
+
+    With views also page: the page's bytes alone, a character a byte; null where no bucket holds them.
+    """
     importable(df.sparkSession)
     bounded_batches(df.sparkSession)
-    schema = _schema(df, ids, PAGE)
-    run = partial(_run, schema=to_arrow_schema(schema), target=target_bytes)
+    schema = _schema(df, ids, PAGE + (", page string" if views else ""))
+    run = partial(_run, schema=to_arrow_schema(schema), target=target_bytes, views=views)
     return df.select(*ids, text).mapInArrow(run, schema)
 
 

@@ -9,7 +9,8 @@ rank, or raises if it can't prove such an order:
   equal to the prefix must have the larger rank;
 * all others must not begin with the same byte.
 
-A last alternative takes one byte of what no rule matches.
+A last alternative takes one byte of what no rule matches. Each row is a source of
+its own, told by its number, so ids may be null or repeated.
 """
 
 from __future__ import annotations
@@ -17,6 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from glyphmill.operators.lines import ROW
 from glyphmill.operators.pages import page_views
 from glyphmill.operators.select import remap_keywords
 from glyphmill.spec.artifact import Rule, Runtime
@@ -78,10 +80,11 @@ def tokens(df: DataFrame, text: str = "text", ids: tuple[str, ...] = ("doc_id",)
     """ids, page_id, start, end (in the source), rule_id, kind_id, skip, lexeme of all tokens."""
     runtime = runtime or builtin()
     rules = compile_rules(runtime)
-    page = [*ids, "page_id"]
-    pages = page_views(df, text, ids, target_bytes).where("bucket IS NOT NULL")
+    page = [ROW, "page_id"]
+    numbered = df.select(*ids, text, F.monotonically_increasing_id().alias(ROW))
+    pages = page_views(numbered, text, (*ids, ROW), target_bytes).where("bucket IS NOT NULL")
     whole = "|".join(e for _, e in rules) + "|[\\x00-\\xff]"
-    parts = pages.select(*page, "base", F.posexplode(F.regexp_extract_all("page", F.lit(whole), F.lit(0))).alias("i", "lexeme"))
+    parts = pages.select(*ids, *page, "base", F.posexplode(F.regexp_extract_all("page", F.lit(whole), F.lit(0))).alias("i", "lexeme"))
     w = Window.partitionBy(*page).orderBy("i")
     before = F.coalesce(F.sum(F.length("lexeme")).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     # The rule is told from the lexeme and the byte before it, on which runs depend.
@@ -93,5 +96,5 @@ def tokens(df: DataFrame, text: str = "text", ids: tuple[str, ...] = ("doc_id",)
         rule = F.when(fits, F.lit(r.id)).otherwise(rule)
     found = rows.withColumn("rule_id", rule).where("rule_id IS NOT NULL")
     return remap_keywords(found, runtime).select(
-        *page, "start", (F.col("start") + F.length("lexeme")).alias("end"), "rule_id", "kind_id", "skip", "lexeme"
+        *ids, "page_id", "start", (F.col("start") + F.length("lexeme")).alias("end"), "rule_id", "kind_id", "skip", "lexeme"
     )

@@ -1,6 +1,8 @@
 """The relational plan: every step a window function, join or aggregate over byte rows.
 
-It explains and checks the others; for whole corpora use ``plans.arrow``.
+It explains and checks the others; for whole corpora use ``plans.arrow``. Each row
+of df is a source of its own, told by its number, so ids may be null or repeated;
+df must give its rows in the same order whenever it is read, as files do.
 """
 
 from __future__ import annotations
@@ -9,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from glyphmill.operators.candidates import automaton_candidates, candidates, winners
+from glyphmill.operators.lines import ROW
 from glyphmill.operators.pages import page_views
 from glyphmill.operators.select import greedy, remap_keywords, with_lexemes
 from glyphmill.spec.artifact import Runtime
@@ -18,15 +21,16 @@ from glyphmill.spec.builtin import builtin
 def tokens(df: DataFrame, text: str = "text", ids: tuple[str, ...] = ("doc_id",), runtime: Runtime | None = None, automata: bool = False, target_bytes: int = 32768) -> DataFrame:
     """ids, page_id, start, end (in the source), rule_id, kind_id, skip, lexeme of all tokens."""
     runtime = runtime or builtin()
-    page = [*ids, "page_id"]
-    pages = page_views(df, text, ids, target_bytes).where("bucket IS NOT NULL")
+    page = [ROW, "page_id"]
+    numbered = df.select(*ids, text, F.monotonically_increasing_id().alias(ROW))
+    pages = page_views(numbered, text, (*ids, ROW), target_bytes).where("bucket IS NOT NULL")
     rows = pages.select(*page, F.posexplode(F.split("page", "")).alias("pos", "ch")).where("ch != ''").select(*page, "pos", F.ascii("ch").alias("b"))
     found = candidates(rows, runtime, page)
     if automata:
         found = found.unionByName(automaton_candidates(pages, runtime, page).select(*found.columns))
     chosen = with_lexemes(greedy(winners(found, page), page), pages, page)
-    out = remap_keywords(chosen, runtime).join(pages.select(*page, "base"), page)
+    out = remap_keywords(chosen, runtime).join(pages.select(*page, *ids, "base"), page)
     return out.select(
-        *page, (F.col("base") + F.col("start")).alias("start"), (F.col("base") + F.col("end")).alias("end"), "rule_id", "kind_id", "skip", "lexeme"
+        *ids, "page_id", (F.col("base") + F.col("start")).alias("start"), (F.col("base") + F.col("end")).alias("end"), "rule_id", "kind_id", "skip", "lexeme"
     )
 

@@ -135,6 +135,21 @@ def byte_class_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(byte_class(F.col("b"), builtin()).alias("class_id"), "n").groupBy("class_id").agg(F.sum("n").alias("n"))
 
 
+_OP_BYTES = ", ".join(str(b) for b in sorted(set("".join(OPERATORS.values()).encode())))
+
+
+@query(
+    "WITH b AS (SELECT unnest(range(0, 256)) AS b), sig AS (SELECT b, b IN (9, 10, 13, 32) AS ws, b = 10 AS nl, b BETWEEN 48 AND 57 AS digit,"
+    f" b BETWEEN 65 AND 90 OR b BETWEEN 97 AND 122 OR b = 95 AS start, CASE WHEN b IN ({_OP_BYTES}) THEN b END AS op FROM b),"
+    " least AS (SELECT *, min(b) OVER (PARTITION BY ws, nl, digit, start, op) AS first FROM sig)"
+    " SELECT b::INTEGER AS byte, (dense_rank() OVER (ORDER BY first) - 1)::INTEGER AS class_id FROM least"
+)
+def byte_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The class of each byte: bytes that no rule tells apart share one."""
+    b = spark.range(256).select(F.col("id").cast("int").alias("byte"))
+    return b.select("byte", byte_class(F.col("byte"), builtin()).alias("class_id"))
+
+
 _LINES = (
     "parts AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS part, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line FROM documents),"
     " starts AS (SELECT doc_id, line, (sum(strlen(part) + 1) OVER (PARTITION BY doc_id ORDER BY line) - strlen(part) - 1)::BIGINT AS start FROM parts)"
@@ -147,6 +162,32 @@ def line_starts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return L.lines(docs(spark, sf_dir))
 
 
+_MIXED = "replace(replace(text, '. ', '.' || chr(13)), chr(10), chr(13) || chr(10))"
+# A lone \r as \n, the pair as one of two bytes: line ends are then the \n.
+_MIXED_LINES = _LINES.replace("FROM documents", "FROM mixed")
+_MIXED_SQL = f"mixed AS (SELECT doc_id, replace(replace({_MIXED}, chr(13) || chr(10), '.' || chr(10)), chr(13), chr(10)) AS text FROM documents)"
+
+
+def _mixed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents with lines that end in \\r and in \\r\\n."""
+    cr = F.replace(F.replace("text", F.lit(". "), F.lit(".\r")), F.lit("\n"), F.lit("\r\n"))
+    return docs(spark, sf_dir).select("doc_id", cr.alias("text"))
+
+
+@query(f"WITH {_MIXED_SQL}, {_MIXED_LINES} SELECT doc_id, line::INTEGER AS line, start FROM starts")
+def line_starts_mixed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Line starts of the documents where lines end in \\r, \\r\\n and none."""
+    return L.lines(_mixed(spark, sf_dir))
+
+
+@query(f"WITH {_MIXED_SQL} SELECT doc_id, (strlen(text) - strlen(replace(text, chr(10), '')))::BIGINT AS line_ends FROM mixed")
+def line_ends_mixed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes that end a line, by the mask over bytes."""
+    mask = L.line_end_mask(L.byte_rows(_mixed(spark, sf_dir)))
+    ends = mask.groupBy("doc_id").agg(F.count_if("ends_line").alias("line_ends"))
+    return docs(spark, sf_dir).select("doc_id").join(ends, "doc_id", "left").select("doc_id", F.coalesce("line_ends", F.lit(0)).alias("line_ends"))
+
+
 @query("SELECT doc_id, len(string_split(text, chr(10)))::BIGINT AS line_count FROM documents")
 def line_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines of each document."""
@@ -204,6 +245,17 @@ def bucket_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.bucket_histogram(arrow.plan_pages(docs(spark, sf_dir)))
 
 
+@query(
+    f"WITH RECURSIVE {_pages_sql(2048)} SELECT doc_id, page_id::INTEGER AS page_id, ({_BUCKET})::INTEGER AS bytes, (({_BUCKET}) - (stop - start))::INTEGER AS nulls"
+    " FROM pages WHERE stop - start <= 65536"
+)
+def padded_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes of the documents' pages filled up to their buckets, and how many of them fill."""
+    pages = P.padded(P.page_views(docs(spark, sf_dir), target_bytes=2048)).where("bucket IS NOT NULL")
+    nulls = F.length("page") - F.length(F.replace("page", F.lit("\0"), F.lit("")))
+    return pages.select("doc_id", "page_id", F.length("page").alias("bytes"), nulls.alias("nulls"))
+
+
 _LONG = "repeat(replace(text, chr(10), ' '), 5) || chr(10) || 'let x = 1'"
 
 
@@ -215,7 +267,7 @@ _LONG = "repeat(replace(text, chr(10), ' '), 5) || chr(10) || 'let x = 1'"
 def overflow_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages that no bucket holds, of documents whose lines are joined and repeated."""
     one = docs(spark, sf_dir).select("doc_id", F.concat(F.repeat(F.replace("text", F.lit("\n"), F.lit(" ")), 5), F.lit("\nlet x = 1")).alias("text"))
-    return arrow.overflows(arrow.lex(one))
+    return arrow.overflows(arrow.plan_pages(one))
 
 
 @query(
@@ -438,11 +490,78 @@ def padded_row_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def observation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts of each source and their trace id."""
-    found = arrow.observe(arrow.lex(statements(spark, sf_dir)))
+    return _observed(arrow.lex(statements(spark, sf_dir)))
+
+
+def _observed(pages: DataFrame) -> DataFrame:
+    found = arrow.observe(pages)
     pairs = F.transform(F.map_entries("pages_by_bucket"), lambda e: F.concat_ws("=", e["key"].cast("string"), e["value"].cast("string")))
     return found.withColumn("buckets", F.array_join(pairs, ",")).drop("pages_by_bucket")
 
 
+# Tokens of whole documents on pages of about 512 bytes, in any alphabet. The parts of a page are cut by one expression;
+# a run of letters and digits that begins with a digit holds an int for each run of digits, and blanks after a comment that
+# ends in blanks belong to a run that began inside it.
+_PAGED = (
+    f"WITH RECURSIVE {_pages_sql(512)}, words AS (SELECT * FROM (VALUES {_KINDS}) AS v(word, kind)),"
+    f" ops AS (SELECT * FROM (VALUES {', '.join(f'({chr(39)}{t}{chr(39)}, {4 + i})' for i, t in enumerate(OPERATORS.values()))}) AS v(op, kind)),"
+    " fit AS (SELECT * FROM pages WHERE stop - start <= 65536),"
+    " whole AS (SELECT s.doc_id, s.line, s.start, q.part FROM starts s JOIN parts q ON q.doc_id = s.doc_id AND q.line = s.line),"
+    " txt AS (SELECT p.doc_id, p.page_id, p.start AS base, string_agg(l.part || CASE WHEN l.start + strlen(l.part) < z.n THEN chr(10) ELSE '' END, '' ORDER BY l.line) AS s"
+    " FROM fit p JOIN size z ON z.doc_id = p.doc_id JOIN whole l ON l.doc_id = p.doc_id AND l.start >= p.start AND l.start < p.stop GROUP BY p.doc_id, p.page_id, p.start),"
+    r" cutup AS (SELECT doc_id, page_id, base, regexp_extract_all(s, '//[^\n]*|[ \t\r\n]+|[A-Za-z0-9_]+|->|==|(?s:.)') AS xs FROM txt),"
+    " piece AS (SELECT doc_id, page_id, base, unnest(xs) AS x, generate_subscripts(xs, 1) AS i FROM cutup),"
+    " placed AS (SELECT doc_id, page_id, x, lag(x) OVER w AS before, (base + sum(strlen(x)) OVER w - strlen(x))::BIGINT AS p FROM piece"
+    " WINDOW w AS (PARTITION BY doc_id, page_id ORDER BY i)),"
+    r" digits AS (SELECT doc_id, page_id, p, regexp_extract_all(x, '[0-9]+|[A-Za-z_]+') AS ys FROM placed WHERE regexp_matches(x, '^[0-9]')),"
+    " part AS (SELECT doc_id, page_id, p, unnest(ys) AS y, generate_subscripts(ys, 1) AS j FROM digits),"
+    " inner_ AS (SELECT doc_id, page_id, y AS x, (p + sum(strlen(y)) OVER (PARTITION BY doc_id, p ORDER BY j) - strlen(y))::BIGINT AS p FROM part),"
+    r" both_ AS (SELECT doc_id, page_id, x, p, CASE WHEN regexp_matches(x, '^[ \t\r\n]') THEN CASE WHEN before IS NULL OR NOT regexp_matches(before, '^//([^\n]*[ \t\r])$') THEN 0 END"
+    " WHEN starts_with(x, '//') THEN 1 WHEN regexp_matches(x, '^[A-Za-z_]') THEN coalesce(words.kind, 2) ELSE ops.kind END AS kind"
+    " FROM placed LEFT JOIN words ON words.word = x LEFT JOIN ops ON ops.op = x WHERE NOT regexp_matches(x, '^[0-9]')"
+    " UNION ALL SELECT doc_id, page_id, x, p, 3 FROM inner_ WHERE regexp_matches(x, '^[0-9]')),"
+    " tk AS (SELECT doc_id, page_id, p, strlen(x) AS len, kind FROM both_ WHERE kind IS NOT NULL)"
+)
+
+
+@query(f"{_PAGED} SELECT doc_id, page_id::INTEGER AS page_id, p::BIGINT AS start, (p + len)::BIGINT AS \"end\", kind::INTEGER AS kind_id, (kind < 2)::INTEGER AS flags FROM tk")
+def tokens_paged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All tokens of the documents on many pages each, at their places in the source."""
+    return arrow.tokens(arrow.lex(docs(spark, sf_dir), options=arrow.Options(emit_skip=True, target_bytes=512)))
+
+
+_PAGED_GAPS = (
+    " edges AS (SELECT doc_id, page_id, p AS a, p + len AS b FROM tk UNION ALL SELECT doc_id, page_id, stop, stop FROM fit),"
+    " gaps AS (SELECT e.doc_id, e.page_id, coalesce(lag(e.b) OVER (PARTITION BY e.doc_id, e.page_id ORDER BY e.a, e.b), f.start) AS a, e.a AS b"
+    " FROM edges e JOIN fit f ON f.doc_id = e.doc_id AND f.page_id = e.page_id)"
+)
+
+
+@query(f"{_PAGED}, {_PAGED_GAPS} SELECT doc_id, page_id::INTEGER AS page_id, a::BIGINT AS start, b::BIGINT AS \"end\" FROM gaps WHERE b > a")
+def error_spans_paged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Maximal runs of bytes in no token, page by page of the documents."""
+    return arrow.error_spans(arrow.lex(docs(spark, sf_dir), options=arrow.Options(target_bytes=512)))
+
+
+@query(
+    f"{_PAGED}, {_PAGED_GAPS}, t AS (SELECT doc_id, count(*) AS n FROM tk WHERE kind > 1 GROUP BY doc_id), e AS (SELECT doc_id, count(*) AS n FROM gaps WHERE b > a GROUP BY doc_id),"
+    f" bk AS (SELECT doc_id, {_BUCKET} AS bucket, count(*) AS c FROM pages GROUP BY 1, 2),"
+    " g AS (SELECT doc_id, sum(c)::BIGINT AS pc, coalesce(sum(c) FILTER (WHERE bucket IS NULL), 0)::BIGINT AS oc, coalesce(string_agg(bucket || '=' || c, ',' ORDER BY bucket) FILTER (WHERE bucket IS NOT NULL), '') AS buckets FROM bk GROUP BY doc_id)"
+    " SELECT g.doc_id, pc AS page_count, z.n AS total_bytes, coalesce(t.n, 0)::BIGINT AS token_count, coalesce(e.n, 0)::BIGINT AS error_span_count, oc AS overflow_count, buckets,"
+    " 'f' || g.doc_id || '-b' || z.n || '-p' || pc || '-t' || coalesce(t.n, 0) || '-e' || coalesce(e.n, 0) || '-o' || oc AS trace_id"
+    " FROM g JOIN size z ON z.doc_id = g.doc_id LEFT JOIN t ON t.doc_id = g.doc_id LEFT JOIN e ON e.doc_id = g.doc_id"
+)
+def observation_paged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts of each document over its pages, and its trace id."""
+    return _observed(arrow.lex(docs(spark, sf_dir), options=arrow.Options(target_bytes=512)))
+
+
+@query(f"{_PAGED} SELECT l.quality::INTEGER AS quality, count(*)::BIGINT AS tokens, count(DISTINCT tk.doc_id)::BIGINT AS sources FROM tk JOIN labels l ON l.doc_id = tk.doc_id WHERE kind > 1 GROUP BY l.quality")
+def document_tokens_by_label(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of the documents by their label: counts a source are joined, not tokens."""
+    return _by_label(arrow.lex(docs(spark, sf_dir), options=arrow.Options(target_bytes=512)), spark, sf_dir)
+
+
 _DOC_PARTS = r"'[A-Za-z0-9_]+|[ \t\r\n]+|->|==|[=+\-*/(){}:,]'"
 
 
@@ -465,7 +584,11 @@ def token_kind_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"{_TOKENS} SELECT l.quality::INTEGER AS quality, count(*)::BIGINT AS tokens, count(DISTINCT tk.doc_id)::BIGINT AS sources FROM tk JOIN labels l ON l.doc_id = tk.doc_id WHERE NOT skip GROUP BY l.quality")
 def tokens_by_label(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens joined with labels: counts a source are joined, not tokens."""
-    counts = arrow.lex(statements(spark, sf_dir)).groupBy("doc_id").agg(F.sum("row_count").alias("n")).where("n > 0")
+    return _by_label(arrow.lex(statements(spark, sf_dir)), spark, sf_dir)
+
+
+def _by_label(pages: DataFrame, spark: SparkSession, sf_dir: str) -> DataFrame:
+    counts = pages.groupBy("doc_id").agg(F.sum("row_count").alias("n")).where("n > 0")
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "quality")
     return counts.join(labels, "doc_id").groupBy("quality").agg(F.sum("n").alias("tokens"), F.count_distinct("doc_id").alias("sources"))
 
@@ -494,26 +617,40 @@ def fnv1a_file_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", fnv1a(F.col("url")).alias("file_id"))
 
 
-@query("SELECT 0::BIGINT AS differences")
+@query(
+    f"{_TOKENS}, {_ERRORS}, n AS (SELECT (SELECT count(*) FROM tk WHERE NOT skip)::BIGINT AS tokens, (SELECT count(*) FROM gaps WHERE b > a)::BIGINT AS error_spans)"
+    f" SELECT profile, tokens, error_spans, 0::BIGINT AS differences FROM n, (VALUES ('v0'), ('{V1}')) AS v(profile)"
+)
 def profiles_agree(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pages on which the two profiles differ, for a specification without automata: none."""
+    """Tokens and errors under each profile, and pages that only it has: none, for a specification without automata."""
     d = statements(spark, sf_dir)
-    a, b = (arrow.lex(d, options=arrow.Options(profile=p)).select("doc_id", "page_id", "packed", "error_start", "error_end") for p in ("v0", V1))
-    return a.exceptAll(b).unionAll(b.exceptAll(a)).agg(F.count("*").alias("differences"))
+    columns = ["doc_id", "page_id", "packed", "error_start", "error_end"]
+    each = {p: arrow.lex(d, options=arrow.Options(profile=p)).select(*columns) for p in ("v0", V1)}
+    count = lambda p, q: each[p].agg(
+        F.lit(p).alias("profile"), F.sum(F.size("packed")).alias("tokens"), F.sum(F.size("error_start")).alias("error_spans")
+    ).join(each[p].exceptAll(each[q]).agg(F.count("*").alias("differences")), F.lit(True))  # one row each
+    return count("v0", V1).unionAll(count(V1, "v0"))
 
 
-@query("SELECT 0::BIGINT AS differences")
+@query(f"{_PAGED} SELECT count(*)::BIGINT AS tokens, 0::BIGINT AS differences FROM tk")
 def plans_agree(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Tokens of the documents on which the regular expression and the Arrow kernel differ: none."""
-    a = regex.tokens(docs(spark, sf_dir)).select("doc_id", "start", "end", "kind_id", F.col("skip").cast("int").alias("flags"))
-    b = arrow.tokens(arrow.lex(docs(spark, sf_dir), options=arrow.Options(emit_skip=True))).select(*a.columns)
+    """Tokens of the documents, skipped ones too, and documents on which the expression and the Arrow kernel differ: none."""
+    a = regex.tokens(docs(spark, sf_dir), target_bytes=512).select("doc_id", "start", "end", "kind_id", F.col("skip").cast("int").alias("flags"))
+    b = arrow.tokens(arrow.lex(docs(spark, sf_dir), options=arrow.Options(emit_skip=True, target_bytes=512))).select(*a.columns)
     # A checksum of each document's tokens instead of a comparison of all rows.
     sums = lambda df, c: df.groupBy("doc_id").agg(F.bit_xor(F.xxhash64(*df.columns)).alias(c), F.count("*").alias(c + "n"))
     both = sums(a, "x").join(sums(b, "y"), "doc_id", "full")
-    return both.agg(F.count_if(~F.col("x").eqNullSafe(F.col("y")) | ~F.col("xn").eqNullSafe(F.col("yn"))).alias("differences"))
+    return both.agg(F.sum("yn").alias("tokens"), F.count_if(~F.col("x").eqNullSafe(F.col("y")) | ~F.col("xn").eqNullSafe(F.col("yn"))).alias("differences"))
 
 
-@query()
+@query(
+    f"{_TOKENS}, {_ERRORS}, names AS (SELECT * FROM (VALUES {_NAMES}) AS v(kind_id, kind)),"
+    " t AS (SELECT tk.doc_id, count(*) AS n, string_agg('{\"endByte\":' || (p + len) || ',\"flags\":0,\"kind\":\"' || names.kind || '\",\"kindID\":' || tk.kind || ',\"startByte\":' || p || '}', ',' ORDER BY p) AS j"
+    " FROM tk JOIN names ON names.kind_id = tk.kind WHERE NOT skip GROUP BY tk.doc_id),"
+    " e AS (SELECT doc_id, string_agg('{\"end\":' || b || ',\"start\":' || a || '}', ',' ORDER BY a) AS j FROM gaps WHERE b > a GROUP BY doc_id)"
+    " SELECT src.doc_id, '{\"errorSpans\":[' || coalesce(e.j, '') || '],\"fileID\":' || src.doc_id || ',\"overflows\":[],\"tokenCount\":' || coalesce(t.n, 0) || ',\"tokens\":[' || coalesce(t.j, '') || ']}' AS json"
+    " FROM src LEFT JOIN t ON t.doc_id = src.doc_id LEFT JOIN e ON e.doc_id = src.doc_id"
+)
 def tokens_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each source's tokens and errors as one JSON value, as the command line writes them."""
     from glyphmill.sources.sinks import as_json

@@ -43,15 +43,15 @@ def literals(rules: dict[str, int]):
 @pytest.mark.parametrize(
     ("text", "kinds", "errors"),
     [
-        ("let x = 42\n", "kwLet ws ident ws eq ws int ws", []),
-        ("func foo() -> Int { return 1 }\n", "kwFunc ws ident lParen rParen ws arrow ws ident ws lBrace ws kwReturn ws int ws rBrace ws", []),
-        ("// comment\nlet y = 0\n", "lineComment ws kwLet ws ident ws eq ws int ws", []),
-        ("===>", "eqEq eq", [(3, 4)]),
-        ("@", "", [(0, 1)]),
-        ("1abc", "int", [(1, 4)]),
-        ("// c \nx", "lineComment ident", [(5, 6)]),
-        ("//", "lineComment", []),
-        ("é", "", [(0, 2)]),
+        ("let total=7*(rate+1)", "kwLet ws ident eq int star lParen ident plus int rParen", []),
+        ("return{a:b,c}", "kwReturn lBrace ident colon ident comma ident rBrace", []),
+        ("// one // two\n//three\r\nif", "lineComment ws lineComment kwIf", [(22, 23)]),
+        ("a-->b==-1", "ident minus arrow ident eqEq minus int", []),
+        ("?#", "", [(0, 2)]),
+        ("77ab7_ 8", "int int ws int", [(2, 4), (5, 6)]),
+        ("x/// \t/", "ident lineComment", []),
+        ("/", "slash", []),
+        ("ü=ß", "eq", [(0, 2), (3, 5)]),
         ("", "", []),
     ],
 )

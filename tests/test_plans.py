@@ -210,3 +210,24 @@ def test_profiles_agree_without_automata(spark):
     df = spark.createDataFrame(list(enumerate(samples)), "doc_id long, text string")
     one, two = (rows(arrow.tokens(arrow.lex(df, options=arrow.Options(profile=p)))) for p in ("v0", V1))
     assert one == two and len(one) > 20
+
+
+def test_null_and_repeated_ids_are_sources_of_their_own(spark):
+    data = [(1, "let x = 1abc\n// é\nif"), (1, "let x = 1abc\n// é\nif"), (1, "a==b"), (None, "x->y\r\n"), (None, "x->y\r\n"), (None, None), (2, "")]
+    df = spark.createDataFrame(data, "doc_id long, text string").repartition(3).sortWithinPartitions("doc_id", "text")
+    cols = ["doc_id", "page_id", "start", "end", "kind_id"]
+    text = lambda found: sorted(str(tuple(r)) for r in found.select(*cols).collect())
+    want = text(arrow.tokens(arrow.lex(df, options=arrow.Options(emit_skip=True, target_bytes=8))))
+    assert text(window.tokens(df, target_bytes=8)) == want and text(regex.tokens(df, target_bytes=8)) == want and len(want) > 30
+    starts = sorted(str(tuple(r)) for r in L.lines(df).collect())
+    assert starts == sorted(str(r) for i, t in data for r in [(i, 0, 0)] + ([(i, 1, 13), (i, 2, 19)] if t and "let" in t else [(i, 1, 6)] if t and "\r" in t else []))
+
+
+def test_a_long_source_is_cut_into_pages_alone(spark):
+    """Each page carries its own bytes, not the source's: 24 MB in 733 pages, and a line that no bucket holds."""
+    df = spark.createDataFrame([(1, 0)], "doc_id long, start int").withColumn("text", F.repeat(F.lit("let name = 12345 + é // x\n"), 24_000_000 // 27))
+    got = P.page_views(df).agg(F.count("*"), F.sum(F.length("page")), F.max("size"), F.sum("size")).first()
+    assert got[1] == got[3] == 27 * (24_000_000 // 27) and got[2] <= 32768 and got[0] >= 733
+    assert regex.tokens(df).groupBy("doc_id").count().first()["count"] == 13 * (24_000_000 // 27)
+    line = df.withColumn("text", F.repeat(F.lit("x"), 70_000))
+    assert [tuple(r) for r in P.page_views(line).select("size", "bucket", "page").collect()] == [(70_000, None, None)]
