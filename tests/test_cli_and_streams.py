@@ -80,7 +80,7 @@ def test_lex_command_refuses_artifacts_it_cannot_run(spark):
 def test_smoke(spark):
     f = Fake(spark)
     assert f.run("smoke", "--json") == 0
-    assert json.loads(f.text) == {"status": "ok", "literalRows": 6, "runRows": 5, "prefixedRows": 3}
+    assert json.loads(f.text) == {"status": "ok", "literalRows": 3, "runRows": 4, "prefixedRows": 2}
 
 
 def test_files_and_memory(spark, tmp_path):
