@@ -48,6 +48,8 @@ from glyphmill.llm.common import components, groups, materialize, sized_broadcas
 SHINGLE, ROWS, BITS = 5, 6, 2
 #: Signatures of a bucket, and sets and their elements together, in half a block of full comparison.
 SIGNATURES, SETS, ELEMENTS = 2048, 1024, 400_000
+#: Pairs of a block that are compared at once; a worker takes about 250 bytes for each.
+PAIRS = 250_000
 _FIELDS = 64 // BITS
 _LOW = 0x5555555555555555
 
@@ -315,7 +317,7 @@ def _touching(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Re
             continue
         sig = np.stack([table.column(i).to_numpy().view(np.uint64) for i in range(3, table.num_columns)])
         label = comp
-        step = max(1, 1_000_000 // len(comp))
+        step = max(1, PAIRS // len(comp))
         for at in range(0, len(comp), step):
             part = slice(at, at + step)
             off = np.zeros((len(comp[part]), len(comp)), dtype=np.uint16)
@@ -353,14 +355,14 @@ def _linked(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Reco
         order = np.argsort(column, kind="stable")
         owner, column = owner[order], column[order]
         both = np.zeros((len(n), len(n)), dtype=np.float32)
-        width = max(64, 4_000_000 // len(n))
+        width = max(64, 4 * PAIRS // len(n))
         for first in range(0, int((seen > 1).sum()), width):
             p, q = np.searchsorted(column, [first, first + width])
             x = np.zeros((len(n), width), dtype=np.float32)
             x[owner[p:q], column[p:q] - first] = 1
             both += x @ x.T
         label = comp
-        step = max(1, 500_000 // len(n))
+        step = max(1, PAIRS // len(n))
         for at in range(0, len(n), step):
             part = slice(at, at + step)
             same = both[part].astype(np.int64)

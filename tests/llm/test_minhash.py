@@ -1,5 +1,6 @@
 import random
 import re
+import tracemalloc
 
 import numpy as np
 import pyarrow as pa
@@ -172,3 +173,20 @@ def test_groups_across_batches():
     batches = [pa.RecordBatch.from_pydict({"k": k, "v": v}) for k, v in (([1, 1, 2], [1, 2, 3]), ([2], [4]), ([], []), ([2, 3], [5, 6]))]
     batches[2] = pa.RecordBatch.from_pydict({"k": pa.array([], pa.int64()), "v": pa.array([], pa.int64())})
     assert [(g.column(0)[0].as_py(), g.column(1).to_pylist()) for g in groups(iter(batches))] == [(1, [1, 2]), (2, [3, 4, 5]), (3, [6])]
+
+
+def test_a_full_block_of_like_signatures_is_compared_in_little_memory():
+    """Signatures of one hot band, all alike and in components of their own: each pair fits, and all become one."""
+    n, rng, columns = 2 * M.SIGNATURES, np.random.default_rng(2), [pa.array(np.zeros(2 * M.SIGNATURES, np.int64))]
+    columns += [pa.array(np.arange(n)), pa.array(np.full(n, 300))]
+    names = ["gid", "comp", "n", *M._longs(80)]
+    columns += [pa.array(np.where(rng.random(n) < 0.97, rng.integers(1 << 62), rng.integers(1 << 62, size=n))) for _ in names[3:]]
+    batches = pa.table(columns, names).to_batches(max_chunksize=1000)
+    tracemalloc.start()
+    try:
+        got = pa.Table.from_batches(list(M._touching(iter(batches), percent=80)))
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert set(got["a"].to_pylist()) == {0} and got["b"].to_pylist() == list(range(1, n))
+    assert peak < 100_000_000
