@@ -8,7 +8,8 @@ from the end. Bytes can be appended with exact results, and after an edit only
 the positions of its piece from the edit on are filled anew.
 
 ``Vocabulary`` holds the ranks with, for each token, the two tokens it is merged
-from. ``PrefixTable`` is the table of one piece. ``Text`` keeps the pieces of an
+from; its ``ids`` fill a short piece's table only where the reading asks for it.
+``PrefixTable`` is the table of one piece. ``Text`` keeps the pieces of an
 editable text. ``encode_documents`` is the operator on a table.
 
 Row rules: null text is empty: no ids, and the hashes of an empty string. Each
@@ -104,6 +105,40 @@ class Vocabulary:
             else:
                 moment, b = (b, 1), right[0]
 
+    def ids(self, data: bytes) -> list[int]:
+        """The encoding of a piece: of its table of last tokens only what is asked for from the end is filled."""
+        size = len(data)
+        if size > ENTRY:
+            return PrefixTable(self, data).ids()
+        last: list[int | None] = [None] * (size + 1)
+        get, known, longest = self.ranks.get, self.known.get, self.longest
+
+        def fill(end: int) -> int:
+            for begin in range(end - longest if end > longest else 0, end):
+                token = get(data[begin:end])
+                if token is not None:
+                    if begin:
+                        before = last[begin]
+                        if before is None:
+                            before = fill(begin)
+                        fits = known((before, token))
+                        if fits is None:
+                            fits = self.apart(before, token)
+                        if not fits:
+                            continue
+                    last[end] = token
+                    return token
+            raise ValueError("the vocabulary lacks a byte")
+
+        out, token_bytes = [], self.bytes
+        while size:
+            token = last[size]
+            if token is None:
+                token = fill(size)
+            out.append(token)
+            size -= len(token_bytes[token])
+        return out[::-1]
+
 
 class PrefixTable:
     """The last token of each prefix of a piece."""
@@ -214,65 +249,76 @@ class Text:
         return [x for t in self.tables for x in t.ids()]
 
 
+class _Units(dict):
+    """A memo of what lies between single blanks, by the text without the blank before it; what it lacks is made."""
+
+    def __init__(self, make):
+        self.make = make
+
+    def __missing__(self, text: str) -> tuple[str, bytes]:
+        return self.make(text)
+
+
 class Encoder:
     """Whole texts to (count, ids in decimal, decoded bytes), with a memo of what lies between single blanks."""
 
     def __init__(self, path: str, pattern: str):
         self.vocabulary = Vocabulary(load_ranks(path))
         self.find = regex.compile(pattern).findall
-        self.pieces: dict[str, tuple[int, str, bytes]] = {}
-        self.memo: dict[str, tuple[int, str, bytes]] = {}
+        #: Of pieces without, and units with, a blank before them: ids in decimal and decoded bytes.
+        self.pieces: dict[str, tuple[str, bytes]] = {}
+        self.memo = _Units(self._unit)
         self.held = 0  # bytes, about, of both
-        self.odd = regex.compile(r"\s\s|^\s|\s$")
         # With this pattern a lone blank between other characters always begins a piece.
         self.safe = pattern == _USUAL
 
-    def _hold(self, memo: dict, text: str, known: tuple[int, str, bytes]) -> None:
+    def _hold(self, memo: dict, text: str, known: tuple[str, bytes]) -> tuple[str, bytes]:
         """Keeps an entry; long ones aren't worth their bytes, and full memos start anew."""
-        if len(text) > ENTRY:
-            return
-        self.held += 400 + 4 * len(text) + len(known[1]) + len(known[2])
-        if self.held > MEMO:
-            self.memo.clear()
-            self.pieces.clear()
-            self.held = 0
-        memo[text] = known
-
-    def piece(self, text: str) -> tuple[int, str, bytes]:
-        known = self.pieces.get(text)
-        if known is None:
-            ids = PrefixTable(self.vocabulary, text.encode()).ids()
-            token = self.vocabulary.bytes
-            known = len(ids), " ".join(map(str, ids)), b"".join([token[x] for x in ids])
-            self._hold(self.pieces, text, known)
+        if len(text) <= ENTRY:
+            self.held += 400 + 4 * len(text) + len(known[0]) + len(known[1])
+            if self.held > MEMO:
+                self.memo.clear()
+                self.pieces.clear()
+                self.held = 400 + 4 * len(text) + len(known[0]) + len(known[1])
+            memo[text] = known
         return known
 
-    def parts(self, text: str) -> tuple[int, str, bytes]:
-        found = [self.piece(x) for x in self.find(text)]
-        return sum([x[0] for x in found]), " ".join([x[1] for x in found]), b"".join([x[2] for x in found])
+    def _encode(self, text: str) -> tuple[str, bytes]:
+        ids, token = self.vocabulary.ids(text.encode()), self.vocabulary.bytes
+        return " ".join(map(str, ids)), b"".join([token[x] for x in ids])
 
-    def _between(self, x: str) -> tuple[int, str, bytes]:
-        """What stands between blanks; mostly letters and at most one stop or comma: two pieces, without a search."""
-        if max(x, default="") >= _BEYOND:
-            return self.parts(x)
-        if (tail := x[-1:]) in (".", ",") and (stem := x[:-1]).lstrip(" ").isalpha():
-            a, b = self.piece(stem), self.piece(tail)
-            return a[0] + b[0], f"{a[1]} {b[1]}", a[2] + b[2]
-        return self.piece(x) if x.lstrip(" ").isalpha() else self.parts(x)
+    def piece(self, text: str) -> tuple[str, bytes]:
+        known = self.pieces.get(text)
+        return self._hold(self.pieces, text, self._encode(text)) if known is None else known
+
+    def _unit(self, text: str) -> tuple[str, bytes]:
+        """A blank and what stands after it; mostly letters and at most one stop or comma: two pieces, without a search."""
+        plain = max(text) < _BEYOND
+        if plain and text.isalpha():
+            known = self._encode(" " + text)
+        elif plain and text[-1] in ".," and text[:-1].isalpha():
+            (a, x), (b, y) = self.memo[text[:-1]], self.piece(text[-1])
+            known = f"{a} {b}", x + y
+        else:
+            # A piece that begins with a blank and goes on is a unit too, and the only piece of it.
+            first, *more = self.find(" " + text)
+            found = [self.memo[first[1:]] if more and len(first) > 1 else self._encode(first), *map(self.piece, more)]
+            known = " ".join([x[0] for x in found]), b"".join([x[1] for x in found])
+        return self._hold(self.memo, text, known)
 
     def __call__(self, text: str) -> tuple[int, str, bytes]:
-        if not self.safe or self.odd.search(text):
-            return self.parts(text)
-        words = text.split(" ")
-        words[1:] = [" " + x for x in words[1:]]
-        memo, found = self.memo, []
-        for x in words:
-            known = memo.get(x)
-            if known is None:
-                known = self._between(x)
-                self._hold(memo, x, known)
-            found.append(known)
-        return sum([x[0] for x in found]), " ".join([x[1] for x in found if x[0]]), b"".join([x[2] for x in found])
+        if not text:
+            return 0, "", b""
+        parts = text.split()
+        # Between its parts the text has single blanks or the like, and none at its ends.
+        if self.safe and parts and len("".join(parts)) + len(parts) - 1 == len(text):
+            first, *rest = text.split(" ")
+            found = [self.piece(x) for x in self.find(first)]
+            found += map(self.memo.__getitem__, rest)
+        else:
+            found = [self.piece(x) for x in self.find(text)]
+        digits = " ".join([x[0] for x in found])
+        return digits.count(" ") + 1, digits, b"".join([x[1] for x in found])
 
 
 #: From here on letters are left to the pattern.

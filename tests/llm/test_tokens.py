@@ -268,3 +268,36 @@ def test_encode_documents(spark, encoding):
     got = [tuple(r) for r in B.encode_documents(df, RANKS, P.PATTERN).collect()]
     assert sorted(got, key=str) == sorted(want, key=str)
     assert B.encode_documents(df.limit(0), RANKS, P.PATTERN).count() == 0
+
+
+def test_a_table_is_filled_where_it_is_asked_for(vocabulary):
+    """Ids read off from the end are those of the whole table, at fewer looks into the vocabulary."""
+    pieces = [x.encode() for t in texts(11, 200) for x in t.split(" ")] + [b"a" * 3000, b"", b" withanonheor", b"antidisestablishmentarianism"]
+    assert [vocabulary.ids(x) for x in pieces] == [B.PrefixTable(vocabulary, x).ids() for x in pieces]
+
+    class Counted(dict):
+        looks = 0
+
+        def get(self, *args):
+            self.looks += 1
+            return super().get(*args)
+
+    plain, looks = vocabulary.ranks, []
+    for f in (lambda x: B.PrefixTable(vocabulary, x).ids(), vocabulary.ids):
+        vocabulary.ranks = Counted(plain)
+        try:
+            f(b" antidisestablishmentarianism")
+            looks.append(vocabulary.ranks.looks)
+        finally:
+            vocabulary.ranks = plain
+    assert 0 < 2 * looks[1] <= looks[0]
+
+
+def test_words_are_held_once(encoding):
+    """A word between blanks takes one entry, with a stop behind it one more, and none of them changes the ids."""
+    encode, words_ = B.Encoder(RANKS, P.PATTERN), ["withanonheor", "eaenin", "ththntwh", "Ororno"]
+    for x in ("x " + " ".join(words_), "x " + ". ".join(words_), " ".join(words_) + ".\nOf,x it's 12 ...", "a\x1cb c", "\u2028 a", "a\u00a0 b", "x 's"):
+        n, digits, data = encode(x)
+        ids = encoding.encode_ordinary(x)
+        assert (n, digits, data) == (len(ids), " ".join(map(str, ids)), x.encode())
+    assert sum(x.strip() in words_[1:] for x in [*encode.memo, *encode.pieces]) == len(words_) - 1
