@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from glyphmill.functions.columns import byte_class, fnv1a, in_set, padded_rows, span_error
 from glyphmill.operators import candidates as C
 from glyphmill.operators import lines as L
+from glyphmill.operators import paged
 from glyphmill.operators import pages as P
 from glyphmill.operators import select as S
 from glyphmill.plans import arrow, regex, window
@@ -422,9 +423,8 @@ def coverage_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(ORACLES["coverage_bytes"])
 def coverage_by_reach(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same by the furthest end of earlier tokens."""
-    rows = _rows(_statement_pages(spark, sf_dir))
-    chosen = S.greedy(C.winners(C.candidates(rows, builtin(), PAGE), PAGE), PAGE)
-    return S.coverage_by_reach(rows, chosen, PAGE).groupBy("doc_id").agg(F.count_if("covered").alias("covered"), F.count_if(~F.col("covered")).alias("unknown"))
+    found = paged.coverage(_statement_pages(spark, sf_dir), builtin(), PAGE, by_reach=True)
+    return found.groupBy("doc_id").agg(F.sum("covered").alias("covered"), F.sum("unknown").alias("unknown"))
 
 
 @query(
