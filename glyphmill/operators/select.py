@@ -52,17 +52,18 @@ def remap_keywords(tokens: DataFrame, runtime: Runtime) -> DataFrame:
 
 def coverage(rows: DataFrame, tokens: DataFrame, page: list[str]) -> DataFrame:
     """rows (page, pos) with covered: one up where a token starts, one down where it ends, summed."""
+    # Tables made by explode are estimated as small as their source, so they aren't left to be broadcast.
     marks = tokens.select(*page, F.col("start").alias("pos"), F.lit(1).alias("d")).unionByName(tokens.select(*page, F.col("end").alias("pos"), F.lit(-1).alias("d")))
     marks = marks.groupBy(*page, "pos").agg(F.sum("d").alias("d"))
     open_ = F.sum(F.coalesce("d", F.lit(0))).over(Window.partitionBy(*page).orderBy("pos").rowsBetween(Window.unboundedPreceding, 0))
-    return rows.join(marks, [*page, "pos"], "left").withColumn("covered", open_ > 0).drop("d")
+    return rows.join(marks.hint("merge"), [*page, "pos"], "left").withColumn("covered", open_ > 0).drop("d")
 
 
 def coverage_by_reach(rows: DataFrame, tokens: DataFrame, page: list[str]) -> DataFrame:
     """The same by the furthest end of the tokens that start at or before each byte."""
     ends = tokens.groupBy(*page, F.col("start").alias("pos")).agg(F.max("end").alias("reach"))
     far = F.max("reach").over(Window.partitionBy(*page).orderBy("pos").rowsBetween(Window.unboundedPreceding, 0))
-    return rows.join(ends, [*page, "pos"], "left").withColumn("covered", F.coalesce(far > F.col("pos"), F.lit(False))).drop("reach")
+    return rows.join(ends.hint("merge"), [*page, "pos"], "left").withColumn("covered", F.coalesce(far > F.col("pos"), F.lit(False))).drop("reach")
 
 
 def error_spans(tokens: DataFrame, sizes: DataFrame, page: list[str]) -> DataFrame:

@@ -415,9 +415,8 @@ def error_spans_window(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def coverage_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bytes in tokens, skipped ones too, and in none."""
-    rows = _rows(_statement_pages(spark, sf_dir))
-    chosen = S.greedy(C.winners(C.candidates(rows, builtin(), PAGE), PAGE), PAGE)
-    return S.coverage(rows, chosen, PAGE).groupBy("doc_id").agg(F.count_if("covered").alias("covered"), F.count_if(~F.col("covered")).alias("unknown"))
+    found = paged.coverage(_statement_pages(spark, sf_dir), builtin(), PAGE)
+    return found.groupBy("doc_id").agg(F.sum("covered").alias("covered"), F.sum("unknown").alias("unknown"))
 
 
 @query(ORACLES["coverage_bytes"])
