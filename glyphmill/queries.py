@@ -460,7 +460,7 @@ def packed_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"{_TOKENS} SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY p) - 1)::INTEGER AS idx, ({_PACKED})::BIGINT AS packed FROM tk WHERE NOT skip")
 def packed_rows_window(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same from the relational operators."""
-    return S.pack_rows(window.tokens(statements(spark, sf_dir)), PAGE).select("doc_id", "idx", "packed")
+    return window.packed(statements(spark, sf_dir)).select("doc_id", "idx", "packed")
 
 
 @query(

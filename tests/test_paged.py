@@ -11,6 +11,7 @@ from scalar_model import pages as scalar_pages
 from glyphmill import queries as Q
 from glyphmill.operators import pages as P
 from glyphmill.operators import paged
+from glyphmill.plans import arrow, window
 from glyphmill.spec.builtin import builtin
 
 PAGE = ["doc_id", "page_id"]
@@ -50,6 +51,14 @@ def test_coverage(views, cut, by_reach):
     assert rows(paged.coverage(views, builtin(), PAGE, by_reach)) == sorted(want)
 
 
+def test_tokens_and_packed_rows(spark, sources, views, cut):
+    want = [(i, k, a, b, rule, data[a:b].decode("latin-1")) for i, k, data in cut for a, b, rule, _, _ in scalar(builtin(), data)[0]]
+    assert rows(paged.tokens(views, builtin(), PAGE).drop("idx")) == sorted(want)
+    df = spark.createDataFrame(sources, "doc_id long, text string")
+    pages = arrow.lex(df, options=arrow.Options(target_bytes=24)).select(*PAGE, F.posexplode("packed").alias("idx", "packed"))
+    assert rows(window.packed(df, target_bytes=24)) == rows(pages)
+
+
 @pytest.fixture(scope="module")
 def customers(spark, tmp_path_factory):
     path = tmp_path_factory.mktemp("paged")
@@ -60,7 +69,7 @@ def customers(spark, tmp_path_factory):
     return str(path)
 
 
-@pytest.mark.parametrize("name", ["coverage_by_reach", "coverage_bytes"])
+@pytest.mark.parametrize("name", ["coverage_by_reach", "coverage_bytes", "packed_rows_window"])
 def test_rows_are_not_shuffled(spark, customers, name):
     """Pages are worked on where they are: no windows, and only sums of each source are dealt out."""
     plan = Q.QUERIES[name](spark, customers)._jdf.queryExecution().executedPlan().toString()
