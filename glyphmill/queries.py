@@ -403,9 +403,7 @@ def error_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"{_TOKENS}, {_ERRORS} SELECT doc_id, a::BIGINT AS start, b::BIGINT AS \"end\" FROM gaps WHERE b > a")
 def error_spans_window(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same from the relational operators."""
-    pages = _statement_pages(spark, sf_dir)
-    chosen = S.greedy(C.winners(C.candidates(_rows(pages), builtin(), PAGE), PAGE), PAGE)
-    found = S.error_spans(chosen, pages.select(*PAGE, F.col("size")), PAGE)
+    found = paged.error_spans(_statement_pages(spark, sf_dir), builtin(), PAGE)
     return found.select("doc_id", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"))
 
 

@@ -51,6 +51,11 @@ def test_coverage(views, cut, by_reach):
     assert rows(paged.coverage(views, builtin(), PAGE, by_reach)) == sorted(want)
 
 
+def test_error_spans(views, cut):
+    want = [(i, k, a, b) for (i, k), (_, bad) in spans(cut).items() for a, b in bad]
+    assert rows(paged.error_spans(views, builtin(), PAGE)) == sorted(want)
+
+
 def test_tokens_and_packed_rows(spark, sources, views, cut):
     want = [(i, k, a, b, rule, data[a:b].decode("latin-1")) for i, k, data in cut for a, b, rule, _, _ in scalar(builtin(), data)[0]]
     assert rows(paged.tokens(views, builtin(), PAGE).drop("idx")) == sorted(want)
@@ -69,7 +74,7 @@ def customers(spark, tmp_path_factory):
     return str(path)
 
 
-@pytest.mark.parametrize("name", ["coverage_by_reach", "coverage_bytes", "packed_rows_window", "tokens_window"])
+@pytest.mark.parametrize("name", ["coverage_by_reach", "coverage_bytes", "packed_rows_window", "tokens_window", "error_spans_window"])
 def test_rows_are_not_shuffled(spark, customers, name):
     """Pages are worked on where they are: no windows, and only sums of each source are dealt out."""
     plan = Q.QUERIES[name](spark, customers)._jdf.queryExecution().executedPlan().toString()
