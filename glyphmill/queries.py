@@ -335,7 +335,7 @@ _WINNERS = f"WITH {_SRC}, {_POS}, {_cand_sql()}, {_BEST} SELECT doc_id, p::INTEG
 @query(_WINNERS)
 def winners(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Best candidate of each place."""
-    return C.winners(_candidates(spark, sf_dir), PAGE).select("doc_id", "pos", "len", "rule_id")
+    return paged.winners(_statement_pages(spark, sf_dir), builtin(), PAGE).select("doc_id", "pos", "len", "rule_id")
 
 
 @query(_WINNERS)
