@@ -341,7 +341,7 @@ def winners(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(_WINNERS)
 def winners_by_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same by a packed score."""
-    return C.winners_by_score(_candidates(spark, sf_dir), PAGE).select("doc_id", "pos", "len", "rule_id")
+    return paged.winners(_statement_pages(spark, sf_dir), builtin(), PAGE, "score").select("doc_id", "pos", "len", "rule_id")
 
 
 @query(_WINNERS)
