@@ -354,7 +354,7 @@ def winners_merged(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"{_TOKENS} SELECT doc_id, p::INTEGER AS start, (p + len)::INTEGER AS \"end\", rule::INTEGER AS rule_id FROM tok")
 def greedy_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens chosen from left to right."""
-    return S.greedy(C.winners(_candidates(spark, sf_dir), PAGE), PAGE).select("doc_id", "start", "end", "rule_id")
+    return paged.tokens(_statement_pages(spark, sf_dir), builtin(), PAGE).select("doc_id", "start", "end", "rule_id")
 
 
 _ALL = f"{_TOKENS} SELECT doc_id, p::BIGINT AS start, (p + len)::BIGINT AS \"end\", kind::INTEGER AS kind_id, skip, lexeme FROM tk"

@@ -85,7 +85,7 @@ def customers(spark, tmp_path_factory):
     return str(path)
 
 
-@pytest.mark.parametrize("name", ["coverage_by_reach", "coverage_bytes", "packed_rows_window", "tokens_window", "error_spans_window", "winners", "winners_by_score"])
+@pytest.mark.parametrize("name", ["coverage_by_reach", "coverage_bytes", "packed_rows_window", "tokens_window", "error_spans_window", "winners", "winners_by_score", "greedy_tokens"])
 def test_rows_are_not_shuffled(spark, customers, name):
     """Pages are worked on where they are: no windows, and only sums of each source are dealt out."""
     plan = Q.QUERIES[name](spark, customers)._jdf.queryExecution().executedPlan().toString()
