@@ -347,8 +347,7 @@ def winners_by_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(_WINNERS)
 def winners_merged(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same as a merge of the winners of runs and of literals."""
-    runs = C.winners(_candidates(spark, sf_dir, [0, 1, 2, 3]), PAGE)
-    return C.merge_winners(runs, C.winners(_candidates(spark, sf_dir, list(range(4, 17))), PAGE), PAGE).select("doc_id", "pos", "len", "rule_id")
+    return paged.winners(_statement_pages(spark, sf_dir), builtin(), PAGE, "merged").select("doc_id", "pos", "len", "rule_id")
 
 
 @query(f"{_TOKENS} SELECT doc_id, p::INTEGER AS start, (p + len)::INTEGER AS \"end\", rule::INTEGER AS rule_id FROM tok")

@@ -52,7 +52,7 @@ def test_coverage(views, cut, by_reach):
     assert rows(paged.coverage(views, builtin(), PAGE, by_reach)) == sorted(want)
 
 
-@pytest.mark.parametrize("form", ["order", "score"])
+@pytest.mark.parametrize("form", ["order", "score", "merged"])
 def test_winners(views, cut, form):
     want = []
     for i, k, data in cut:
@@ -85,7 +85,7 @@ def customers(spark, tmp_path_factory):
     return str(path)
 
 
-@pytest.mark.parametrize("name", ["coverage_by_reach", "coverage_bytes", "packed_rows_window", "tokens_window", "error_spans_window", "winners", "winners_by_score", "greedy_tokens"])
+@pytest.mark.parametrize("name", ["coverage_by_reach", "coverage_bytes", "packed_rows_window", "tokens_window", "error_spans_window", "winners", "winners_by_score", "greedy_tokens", "winners_merged"])
 def test_rows_are_not_shuffled(spark, customers, name):
     """Pages are worked on where they are: no windows, and only sums of each source are dealt out."""
     plan = Q.QUERIES[name](spark, customers)._jdf.queryExecution().executedPlan().toString()
