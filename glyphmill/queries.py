@@ -288,14 +288,9 @@ def source_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Candidates, winners, tokens of the statements.
 
 
-def _candidates(spark: SparkSession, sf_dir: str, rules: list[int] | None = None) -> DataFrame:
-    r = builtin()
-    return C.candidates(_rows(_statement_pages(spark, sf_dir)), r, PAGE, [x for x in r.rules if rules is None or x.id in rules])
-
-
 def _candidate_query(name: str, rules: list[int]) -> None:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return _candidates(spark, sf_dir, rules).select("doc_id", "pos", "rule_id", "len")
+        return paged.candidates(_statement_pages(spark, sf_dir), builtin(), PAGE, rules).select("doc_id", "pos", "rule_id", "len")
 
     run.__name__ = name
     query(f"WITH {_SRC}, {_POS}, {_cand_sql(rules)} SELECT doc_id, p::INTEGER AS pos, rule::INTEGER AS rule_id, len::INTEGER AS len FROM cand")(run)
