@@ -12,7 +12,7 @@ from scalar_model import pages as scalar_pages
 from glyphmill import queries as Q
 from glyphmill.operators import pages as P
 from glyphmill.operators import paged
-from glyphmill.plans import arrow, window
+from glyphmill.plans import arrow, regex, window
 from glyphmill.spec.builtin import builtin
 
 PAGE = ["doc_id", "page_id"]
@@ -92,9 +92,18 @@ def customers(spark, tmp_path_factory):
     return str(path)
 
 
-@pytest.mark.parametrize("name", ["coverage_by_reach", "coverage_bytes", "packed_rows_window", "tokens_window", "error_spans_window", "winners", "winners_by_score", "greedy_tokens", "winners_merged", "candidates_class_run", "candidates_literal", "candidates_head_tail"])
+@pytest.mark.parametrize("name", ["coverage_by_reach", "coverage_bytes", "packed_rows_window", "tokens_window", "error_spans_window", "winners", "winners_by_score", "greedy_tokens", "winners_merged", "candidates_class_run", "candidates_literal", "candidates_head_tail", "tokens_regex"])
 def test_rows_are_not_shuffled(spark, customers, name):
     """Pages are worked on where they are: no windows, and only sums of each source are dealt out."""
     plan = Q.QUERIES[name](spark, customers)._jdf.queryExecution().executedPlan().toString()
     assert not any(x in plan for x in ("Window", "Sort", "Generate"))
     assert re.findall(r"Exchange hashpartitioning\((\w+)", plan) == ["doc_id"] * name.startswith("coverage")
+
+
+def test_the_expression_reads_pages_once(spark, sources):
+    df = spark.createDataFrame(sources, "doc_id long, text string")
+    found = regex.tokens(df, target_bytes=24)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and "Exchange hash" not in plan and "RLIKE" not in plan
+    want = [(i, a + x, a + y, rule) for i, t in sources for a, b in scalar_pages((t or "").encode(), 24) if b - a <= 65536 for x, y, rule, _, _ in scalar(builtin(), (t or "").encode()[a:b])[0]]
+    assert rows(found.select("doc_id", "start", "end", "rule_id")) == sorted(want)
