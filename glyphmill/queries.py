@@ -64,11 +64,6 @@ def _statement_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.page_views(statements(spark, sf_dir))
 
 
-def _rows(pages: DataFrame) -> DataFrame:
-    rows = pages.select(*PAGE, F.posexplode(F.split("page", "")).alias("pos", "ch")).where("ch != ''")
-    return rows.select(*PAGE, "pos", F.ascii("ch").alias("b"))
-
-
 _SRC = f"src AS (SELECT c_custkey AS doc_id, {_STATEMENT.format(nl='chr(10)')} AS s FROM customer)"
 _POS = (
     "pos AS (SELECT doc_id, p, CASE WHEN p = 0 THEN '' ELSE substr(s, p, 1) END AS pv, substr(s, p + 1) AS rest"
@@ -424,7 +419,7 @@ def coverage_by_reach(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def next_line_end(spark: SparkSession, sf_dir: str) -> DataFrame:
     """From each byte of the statements the next line feed."""
-    return C.next_stop(_rows(_statement_pages(spark, sf_dir)), [10], PAGE).select("doc_id", "pos", "next_stop")
+    return paged.next_stop(_statement_pages(spark, sf_dir), [10], PAGE).select("doc_id", "pos", "next_stop")
 
 
 @query(

@@ -52,13 +52,18 @@ def test_coverage(views, cut, by_reach):
     assert rows(paged.coverage(views, builtin(), PAGE, by_reach)) == sorted(want)
 
 
-@pytest.mark.parametrize("rules", [[0, 3], [2]])
+@pytest.mark.parametrize("rules", [[0, 3], [2], [1]])
 def test_candidates(views, cut, rules):
     few = [r for r in builtin().rules if r.id in rules]
     want = [(i, k, at, r.id, r.rank, n) for i, k, data in cut for at in range(len(data) if len(data) < 1000 else 0) for r in few if (n := candidate(builtin(), r, data, at, False))]
     assert rows(paged.candidates(views, builtin(), PAGE, rules)) == sorted(want)
 
 
+def test_next_stop(views, cut):
+    want = [(i, k, at, b, n if (n := data.find(b"\n", at)) >= 0 else len(data)) for i, k, data in cut for at, b in enumerate(data)]
+    assert rows(paged.next_stop(views, [10], PAGE)) == sorted(want)
+
+
 @pytest.mark.parametrize("form", ["order", "score", "merged"])
 def test_winners(views, cut, form):
     want = []
@@ -92,7 +97,7 @@ def customers(spark, tmp_path_factory):
     return str(path)
 
 
-@pytest.mark.parametrize("name", ["coverage_by_reach", "coverage_bytes", "packed_rows_window", "tokens_window", "error_spans_window", "winners", "winners_by_score", "greedy_tokens", "winners_merged", "candidates_class_run", "candidates_literal", "candidates_head_tail", "tokens_regex"])
+@pytest.mark.parametrize("name", ["coverage_by_reach", "coverage_bytes", "packed_rows_window", "tokens_window", "error_spans_window", "winners", "winners_by_score", "greedy_tokens", "winners_merged", "candidates_class_run", "candidates_literal", "candidates_head_tail", "tokens_regex", "candidates_prefixed", "next_line_end"])
 def test_rows_are_not_shuffled(spark, customers, name):
     """Pages are worked on where they are: no windows, and only sums of each source are dealt out."""
     plan = Q.QUERIES[name](spark, customers)._jdf.queryExecution().executedPlan().toString()
