@@ -7,10 +7,19 @@ ids; tables of bytes, places and line starts tell sources by their ids.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import partial
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from glyphmill.functions.columns import view
+from glyphmill.session import bounded_batches, importable
+from glyphmill.sources.text import slices
 
 #: The number of a row, by which sources are told apart where ids may be null or repeated.
 ROW = "_row"
@@ -30,6 +39,26 @@ def line_end_mask(rows: DataFrame, ids: tuple[str, ...] = ("doc_id",)) -> DataFr
     return rows.withColumn("ends_line", (F.col("b") == 10) | ((F.col("b") == 13) & (after != 10)))
 
 
+def _ends(batches: Iterator[pa.RecordBatch], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        last = batch.num_columns - 1
+        for first, data, offsets in slices(batch.column(last)):
+            feed = np.append(data[1:] == 10, False)
+            feed[offsets[1:][offsets[1:] > offsets[:-1]] - 1] = False  # what follows is another source
+            at = np.flatnonzero((data == 10) | ((data == 13) & ~feed))
+            count = np.searchsorted(at, offsets[1:]) - np.searchsorted(at, offsets[:-1])
+            ids = [batch.column(i).slice(first, len(count)) for i in range(last)]
+            yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip([*ids, pa.array(count)], schema)], schema=schema)
+
+
+def line_end_counts(df: DataFrame, text: str = "text", ids: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """ids, line_ends: the bytes of each source that end a line, by the mask over its bytes; no shuffle."""
+    importable(df.sparkSession)
+    bounded_batches(df.sparkSession)
+    schema = StructType([df.schema[c] for c in ids] + StructType.fromDDL("line_ends long").fields)
+    return df.select(*ids, text).mapInArrow(partial(_ends, schema=to_arrow_schema(schema)), schema)
+
+
 def lines(df: DataFrame, text: str = "text", ids: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """ids, line, start: the line starts of each source, the last of which may be its end."""
     parts = df.select(*ids, F.monotonically_increasing_id().alias(ROW), F.split(view(F.col(text)), _BREAK, -1).alias("parts"))

@@ -179,9 +179,7 @@ def line_starts_mixed(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {_MIXED_SQL} SELECT doc_id, (strlen(text) - strlen(replace(text, chr(10), '')))::BIGINT AS line_ends FROM mixed")
 def line_ends_mixed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bytes that end a line, by the mask over bytes."""
-    mask = L.line_end_mask(L.byte_rows(_mixed(spark, sf_dir)))
-    ends = mask.groupBy("doc_id").agg(F.count_if("ends_line").alias("line_ends"))
-    return docs(spark, sf_dir).select("doc_id").join(ends, "doc_id", "left").select("doc_id", F.coalesce("line_ends", F.lit(0)).alias("line_ends"))
+    return L.line_end_counts(_mixed(spark, sf_dir))
 
 
 @query("SELECT doc_id, len(string_split(text, chr(10)))::BIGINT AS line_count FROM documents")

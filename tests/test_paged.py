@@ -10,6 +10,7 @@ from scalar_model import lex as scalar
 from scalar_model import pages as scalar_pages
 
 from glyphmill import queries as Q
+from glyphmill.operators import lines as L
 from glyphmill.operators import pages as P
 from glyphmill.operators import paged
 from glyphmill.plans import arrow, regex, window
@@ -112,3 +113,16 @@ def test_the_expression_reads_pages_once(spark, sources):
     assert "Window" not in plan and "Exchange hash" not in plan and "RLIKE" not in plan
     want = [(i, a + x, a + y, rule) for i, t in sources for a, b in scalar_pages((t or "").encode(), 24) if b - a <= 65536 for x, y, rule, _, _ in scalar(builtin(), (t or "").encode()[a:b])[0]]
     assert rows(found.select("doc_id", "start", "end", "rule_id")) == sorted(want)
+
+
+def test_line_ends(spark, sources, customers):
+    texts = [*sources, (None, "a\r"), (None, "\n\r\r\n")]
+    df = spark.createDataFrame(texts, "doc_id long, text string").coalesce(1)
+    want = [(i, len(re.findall(r"\n|\r(?!\n)", t or ""))) for i, t in texts]
+    assert sorted(map(str, rows_as_they_are(L.line_end_counts(df)))) == sorted(map(str, want))
+    df.select(F.coalesce("doc_id", F.lit(-1)).alias("doc_id"), "text").write.parquet(f"{customers}/documents.parquet")
+    assert "Exchange" not in Q.QUERIES["line_ends_mixed"](spark, customers)._jdf.queryExecution().executedPlan().toString()
+
+
+def rows_as_they_are(df):
+    return [tuple(r) for r in df.collect()]
